@@ -19,8 +19,8 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters of words and between them, in texts whose letters are small.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Phrases of the base and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -39,64 +39,72 @@ class Rule:
     pattern: str
 
 
-def family(label: str, name: str, keyword: str, versions: tuple[str, ...] = (), only: bool = False) -> list[Rule]:
-    """Rules of a license with versions: its tag, its full name with the version, and the name alone."""
+def family(label: str, names: dict[str, str], versions: tuple[str, ...] = ()) -> list[Rule]:
+    """Rules of a license: its tag, each of its names (keyword and pattern) with the version, and the names alone."""
+    tag = rf"spdx-license-identifier:\s*\(?{label}"
+    if not versions:
+        return [Rule(label, TAG, "spdx", tag + r"(?![\w.+-])"), *(Rule(label, NAMED, k, rf"\b(?:{n})(?!\w)") for k, n in names.items())]
     out = []
     for v in versions:
-        short = v.removesuffix(".0")
-        number = v.replace(".", r"\.") if v != short or "." in v else v
-        number = rf"{short}(?:\.0)?" if v.endswith(".0") else number
-        tag = rf"spdx-license-identifier:\s*\(?{label}-{number}"
-        out += [Rule(f"{label}-{v}-or-later", TAG, "spdx", tag + r"(?:-or-later|\+)"), Rule(f"{label}-{v}", TAG, "spdx", tag + r"(?:-only)?(?![\w.+-])")]
-        out += [Rule(f"{label}-{v}", NAMED, keyword, rf"\b(?:{name})[\s,(]{{0,4}}(?:version|v\.?)?\s?{number}(?![\w.]\d)")]
-        out += [Rule(f"{label}-{v}-or-later", NAMED, keyword, rf"\b(?:{name})[\s,(]{{0,4}}(?:version|v\.?)?\s?{number}[,)]?\s(?:or|and)\s(?:\(at your option\)\s)?(?:any\s)?later")]
-    if not versions:
-        out += [Rule(label, TAG, "spdx", rf"spdx-license-identifier:\s*\(?{label}(?![\w.+-])"), Rule(label, NAMED, keyword, rf"\b(?:{name})(?!\w)")]
-    elif not only:
-        out += [Rule(label, LOOSE, keyword, rf"\b(?:{name})(?!\w)")]
-    return out
+        number = v.replace(".", r"\.")
+        number = rf"{v[:-2]}(?:\.0)?" if v.endswith(".0") else number
+        out += [Rule(f"{label}-{v}-or-later", TAG, "spdx", rf"{tag}-{number}(?:-or-later|\+)"), Rule(f"{label}-{v}", TAG, "spdx", rf"{tag}-{number}(?:-only)?(?![\w.+-])")]
+        for k, n in names.items():
+            versioned = rf"\b(?:{n})[\s,(-]{{0,4}}(?:version|v\.?)?\s?{number}"
+            out += [Rule(f"{label}-{v}", NAMED, k, versioned + r"(?![\w.]\d)"), Rule(f"{label}-{v}-or-later", NAMED, k, versioned + r"[,)]?\s(?:or|and)\s(?:\(at your option\)\s)?(?:any\s)?later")]
+    return out + [Rule(label, LOOSE, k, rf"\b(?:{n})(?!\w)") for k, n in names.items()]
+
+
+#: Versioned licenses: each name's keyword and pattern, and the versions.
+VERSIONED: dict[str, tuple[dict[str, str], tuple[str, ...]]] = {
+    "gpl": ({"general": r"gnu\sgeneral\spublic\slicense", "gpl": r"(?:gnu\s)?gpl"}, ("1.0", "2.0", "3.0")),
+    "lgpl": ({"general": r"gnu\s(?:lesser|library)\sgeneral\spublic\slicense", "lgpl": "lgpl"}, ("2.0", "2.1", "3.0")),
+    "agpl": ({"affero": r"(?:gnu\s)?affero\sgeneral\spublic\slicense", "agpl": "agpl"}, ("1.0", "3.0")),
+    "gfdl": ({"documentation": r"gnu\sfree\sdocumentation\slicense", "gfdl": "gfdl"}, ("1.1", "1.2", "1.3")),
+    "cc0": ({"cc0": "cc0", "commons": r"creative\scommons\szero"}, ("1.0",)),
+    "apache": ({"apache": r"apache\s(?:software\s)?license"}, ("1.0", "1.1", "2.0")),
+    "mpl": ({"mozilla": r"mozilla\spublic\slicense", "mpl": "mpl"}, ("1.0", "1.1", "2.0")),
+    "epl": ({"eclipse": r"eclipse\spublic\slicense", "epl": "epl"}, ("1.0", "2.0")),
+    "eupl": ({"european": r"european\sunion\spublic\slicen[cs]e", "eupl": "eupl"}, ("1.0", "1.1", "1.2")),
+    "cddl": ({"distribution": r"common\sdevelopment\sand\sdistribution\slicense", "cddl": "cddl"}, ("1.0", "1.1")),
+    "artistic": ({"artistic": r"artistic\slicense"}, ("1.0", "2.0")),
+    "ofl": ({"open font": r"(?:sil\s)?open\sfont\slicense", "ofl": "ofl"}, ("1.0", "1.1")),
+    "osl": ({"open software": r"open\ssoftware\slicense", "osl": "osl"}, ("1.0", "2.0", "2.1", "3.0")),
+    "afl": ({"academic": r"academic\sfree\slicense", "afl": "afl"}, ("1.1", "1.2", "2.0", "2.1", "3.0")),
+    "odc-by": ({"open data": r"open\sdata\scommons\sattribution"}, ("1.0",)),
+    "php": ({"php": r"php\slicense"}, ("3.0", "3.01")),
+    "zpl": ({"zope": r"zope\spublic\slicense"}, ("1.1", "2.0", "2.1")),
+    "lppl": ({"latex": r"latex\sproject\spublic\slicense", "lppl": "lppl"}, ("1.0", "1.1", "1.2", "1.3")),
+    "cecill": ({"cecill": "cecill"}, ("1.0", "1.1", "2.0", "2.1")),
+}
+#: Kinds of the attribution licenses, as their full names say them, and their versions.
+ATTRIBUTION = {"by": "attribution", "by-sa": r"attribution[\s-]sharealike", "by-nd": r"attribution[\s-]noderiv(?:ative)?s", "by-nc": r"attribution[\s-]noncommercial", "by-nc-sa": r"attribution[\s-]noncommercial[\s-]sharealike", "by-nc-nd": r"attribution[\s-]noncommercial[\s-]noderiv(?:ative)?s"}
+ATTRIBUTION_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+#: Licenses without versions: each name's keyword and pattern.
+SINGLE: dict[str, dict[str, str]] = {
+    "mit": {"mit": r"mit\slicense|mit/x11\slicense", "expat": r"expat\slicense", "permission is hereby": r"permission is hereby granted, free of charge, to any person obtaining a copy"},
+    "isc": {"isc": r"isc\slicense"}, "zlib": {"zlib": r"zlib(?:/libpng)?\slicense"}, "bsl-1.0": {"boost": r"boost\ssoftware\slicense"},
+    "unlicense": {"unlicen": r"unlicen[cs]e"}, "wtfpl": {"wtfpl": "wtfpl"}, "ncsa": {"illinois": r"university\sof\sillinois(?:/ncsa)?\sopen\ssource\slicense"},
+    "postgresql": {"postgresql": r"postgresql\slicense"}, "python-2.0": {"python": r"python\ssoftware\sfoundation\slicense", "psf": r"psf\slicense"},
+    "ruby": {"ruby": r"ruby\slicense"}, "vim": {"vim": r"vim\slicense"}, "openssl": {"openssl": r"openssl\slicense"}, "curl": {"curl": r"curl\slicense"},
+    "odbl-1.0": {"open database": r"open\sdatabase\slicense", "odbl": "odbl"}, "public-domain": {"public domain": r"(?:in|into|to)\sthe\spublic\sdomain"},
+    "proprietary": {"rights": r"all\srights\sreserved"},
+}
+CLAUSES = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four"}
 
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, in order: by license family, then rank."""
-    out: list[Rule] = []
-    gpl = r"gnu\s(?:general\spublic\slicense|gpl)|gpl"
-    out += family("gpl", gpl, "g", ("1.0", "2.0", "3.0"))
-    out += family("lgpl", r"gnu\s(?:lesser|library)\sgeneral\spublic\slicense|lgpl", "l", ("2.0", "2.1", "3.0"))
-    out += family("agpl", r"(?:gnu\s)?affero\sgeneral\spublic\slicense|agpl", "a", ("1.0", "3.0"))
-    out += family("gfdl", r"gnu\sfree\sdocumentation\slicense|gfdl", "f", ("1.1", "1.2", "1.3"))
-    kinds = {"by": "attribution", "by-sa": r"attribution[\s-]sharealike", "by-nd": r"attribution[\s-]noderiv(?:ative)?s", "by-nc": r"attribution[\s-]noncommercial", "by-nc-sa": r"attribution[\s-]noncommercial[\s-]sharealike", "by-nc-nd": r"attribution[\s-]noncommercial[\s-]noderiv(?:ative)?s"}
-    for kind, name in kinds.items():
+    """All rules, some hundreds, made from the families."""
+    out = [r for label, (names, versions) in VERSIONED.items() for r in family(label, names, versions)]
+    for kind, name in ATTRIBUTION.items():
         short = kind.replace("-", r"[\s-]")
-        out += family(f"cc-{kind}", rf"creative\scommons\s{name}|cc[\s-]{short}", "c", ("1.0", "2.0", "2.5", "3.0", "4.0"))
+        out += family(f"cc-{kind}", {"commons": rf"creative\scommons\s{name}", "cc": rf"cc[\s-]{short}"}, ATTRIBUTION_VERSIONS)
         out += [Rule(f"cc-{kind}", NAMED, "creativecommons", rf"creativecommons\.org/licenses/{kind}/")]
-    out += family("cc0", r"cc0|creative\scommons\szero", "c", ("1.0",))
-    out += family("apache", r"apache\s(?:software\s)?license", "apache", ("1.0", "1.1", "2.0"))
-    out += family("mpl", r"mozilla\spublic\slicense|mpl", "m", ("1.0", "1.1", "2.0"))
-    out += family("epl", r"eclipse\spublic\slicense|epl", "e", ("1.0", "2.0"))
-    out += family("eupl", r"european\sunion\spublic\slicen[cs]e|eupl", "e", ("1.0", "1.1", "1.2"))
-    out += family("cddl", r"common\sdevelopment\sand\sdistribution\slicense|cddl", "c", ("1.0", "1.1"))
-    out += family("artistic", r"artistic\slicense", "artistic", ("1.0", "2.0"))
-    out += family("ofl", r"(?:sil\s)?open\sfont\slicense|ofl", "o", ("1.0", "1.1"))
-    out += family("osl", r"open\ssoftware\slicense|osl", "o", ("1.0", "2.0", "2.1", "3.0"))
-    out += family("afl", r"academic\sfree\slicense|afl", "a", ("1.1", "1.2", "2.0", "2.1", "3.0"))
-    out += family("odc-by", r"open\sdata\scommons\sattribution", "open data", ("1.0",))
-    out += family("php", r"php\slicense", "php", ("3.0", "3.01"))
-    out += family("zpl", r"zope\spublic\slicense", "zope", ("1.1", "2.0", "2.1"))
-    out += family("lppl", r"latex\sproject\spublic\slicense|lppl", "l", ("1.0", "1.1", "1.2", "1.3"))
-    out += family("cecill", r"cecill", "cecill", ("1.0", "1.1", "2.0", "2.1"))
-    for n, word in {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four"}.items():
-        out += family(f"bsd-{n}-clause", rf"bsd[\s-](?:{n}|{word})[\s-]clause|(?:{n}|{word})[\s-]clause\sbsd", "bsd")
+    for n, word in CLAUSES.items():
+        out += family(f"bsd-{n}-clause", {"bsd": rf"bsd[\s-](?:{n}|{word})[\s-]clause|(?:{n}|{word})[\s-]clause\sbsd"})
     out += [Rule("bsd", LOOSE, "bsd", r"\bbsd(?:[\s-]style)?\slicense")]
-    out += family("mit", r"mit\slicense|mit/x11\slicense|expat\slicense", "license") + [Rule("mit", NAMED, "permission is hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy")]
-    out += family("isc", r"isc\slicense", "isc") + family("zlib", r"zlib(?:/libpng)?\slicense", "zlib") + family("bsl-1.0", r"boost\ssoftware\slicense", "boost")
-    out += family("unlicense", r"unlicense|unlicence", "unlicen") + family("wtfpl", r"wtfpl|do\swhat\sthe\sfuck\syou\swant\sto\spublic\slicense", "w")
-    out += family("ncsa", r"university\sof\sillinois(?:/ncsa)?\sopen\ssource\slicense", "illinois") + family("postgresql", r"postgresql\slicense", "postgresql")
-    out += family("python-2.0", r"python\ssoftware\sfoundation\slicense|psf\slicense", "p") + family("ruby", r"ruby\slicense", "ruby") + family("vim", r"vim\slicense", "vim")
-    out += family("openssl", r"openssl\slicense", "openssl") + family("curl", r"curl\slicense", "curl") + family("odbl-1.0", r"open\sdatabase\slicense|odbl", "o")
-    out += family("public-domain", r"(?:in|into|to)\sthe\spublic\sdomain", "public domain") + family("proprietary", r"all\srights\sreserved", "rights")
-    return tuple(out)
+    return tuple(out + [r for label, names in SINGLE.items() for r in family(label, names)])
 
 
 def words(text: str) -> Column:
@@ -104,6 +112,13 @@ def words(text: str) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
+def count_words(text: str) -> Column:
+    """How many words a text has: each one, with what follows it up to the next, becomes a single letter."""
+    short = F.regexp_replace(text, f"{WORD}{NOT_WORD}*+", "a")
+    first = F.instr(short, "a")
+    return F.when(first > 0, F.length(short) - first + 1).otherwise(F.lit(0)).cast("long")
+
+
 def places(ws: Column, phrase: str) -> Column:
     """Indexes of the words at which the words of ``phrase`` stand one after another."""
     parts = phrase.split()
@@ -157,10 +172,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.rank).alias("rank"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in own))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(text, F.lit(""))).alias("t"))
     gate = reduce(Column.__or__, [F.contains("t", F.lit(k)) for k in GATE])
-    apart = lambda p: f"(?<!{WORD[:-1]})" + f"{NOT_WORD}+".join(p.split()) + f"(?!{WORD[:-1]})"
-    held = reduce(Column.__or__, [F.contains("t", F.lit(p.split()[-1])) & F.rlike("t", F.lit(apart(p))) for p in phrases])
-    ws = F.when(held, words("t"))
-    rows = rows.select("doc_id", "t", F.regexp_count("t", F.lit(WORD)).cast("long").alias("n_words"), ws.alias("ws"), gate.alias("gate"))
+    # a text that holds a phrase contains its words and, with anything between words, the phrase; places() then decides
+    spread = lambda p: reduce(Column.__and__, [F.contains("t", F.lit(w)) for w in sorted(p.split(), key=len, reverse=True)]) & F.rlike("t", F.lit(f"{NOT_WORD}+".join(p.split())))
+    ws = F.when(reduce(Column.__or__, map(spread, phrases)), words("t"))
+    rows = rows.select("doc_id", "t", count_words("t").alias("n_words"), ws.alias("ws"), gate.alias("gate"))
     none = F.array().cast("array<int>")
     found = {p: F.when(F.col("ws").isNotNull(), places(F.col("ws"), p)).otherwise(none) for p in phrases}
     rows = rows.select("doc_id", "n_words", *(c.alias(f"p{i}") for i, c in enumerate(found.values())), F.when(F.col("gate"), kept(F.flatten(F.transform(F.filter(table, lambda r: F.contains("t", r["keyword"])), lambda r: matches("t", r))))).otherwise(F.array().cast("array<struct<rank:int,label:string>>")).alias("detections"))

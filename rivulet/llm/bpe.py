@@ -35,6 +35,8 @@ WORD = regex.compile(
 )
 #: Chunks, and words, that a worker remembers.
 CACHE = 300_000
+#: No id: parts the ids of chunks that are encoded together.
+BREAK = b"\xff\xff\xff\xff"
 #: Larger than any rank.
 NONE = np.int64(1 << 40)
 
@@ -49,6 +51,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b not in hidden else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+def latest(known: dict[str, bytes], asked: set[str], most: int = CACHE) -> dict[str, bytes]:
+    """What a worker remembers; beyond the bound, only what it is asked for now."""
+    return known if len(known) <= most else {k: known[k] for k in asked if k in known}
+
+
+def unassigned(texts: list[str]) -> set[str]:
+    """Code points in the texts that this Python does not know yet."""
+    return {c for c in set().union(*texts) if category(c) == "Cn"}
+
+
 def odd_words(chunk: str) -> list[str]:
     """Words of a chunk with code points that are newer than this Python, as the library splits them."""
     split = ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str(chunk)
@@ -126,29 +138,26 @@ class ByteBpe:
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes the chunks that are not known yet."""
-        for known in (self.known, self.words):
-            if len(known) > CACHE:
-                known.clear()
+        self.known, self.words = latest(self.known, chunks), latest(self.words, chunks)
         new = chunks.difference(self.known, self.special)
         white = {c for c in new if c.isspace() and CHUNK.fullmatch(c)}
-        odd = {c: odd_words(c) for c in new - white if not c.isascii() and any(category(x) == "Cn" for x in c)}
-        plain = [c for c in new if c not in white and c not in odd]
+        plain = list(new - white)
+        odd: dict[str, list[str]] = {}
+        if unknown := unassigned(plain):
+            odd = {c: odd_words(c) for c in plain if not unknown.isdisjoint(c)}
+            plain = [c for c in plain if c not in odd]
         # a line break is a word of its own between chunks that are not white space
-        words = WORD.findall("\n".join(plain))
-        ask = list(set(words).union(white, *odd.values()).difference(self.words))
+        found = WORD.findall("\n".join(plain))
+        ask = list(set(found).union(white, *odd.values()).difference(self.words, "\n" if "\n" not in white else ()))
         self.words.update(zip(ask, self.merge([w.encode() for w in ask]), strict=True))
         self.known.update((c, self.words[c]) for c in white)
         self.known.update((c, b"".join(map(self.words.__getitem__, w))) for c, w in odd.items())
         self.known.update((c, np.array([i], dtype="<i4").tobytes()) for c, i in self.special.items())
-        at, parts = 0, []
-        for w in words:
-            if w == "\n":
-                self.known[plain[at]] = b"".join(parts)
-                at, parts = at + 1, []
-            else:
-                parts.append(self.words[w])
-        if plain:
-            self.known[plain[at]] = b"".join(parts)
+        line, self.words["\n"] = self.words.get("\n"), BREAK
+        self.known.update(zip(plain, b"".join(map(self.words.__getitem__, found)).split(BREAK), strict=False))
+        self.words.pop("\n")
+        if line is not None:
+            self.words["\n"] = line
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""

@@ -34,7 +34,7 @@ WORD = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
 #: Chunks, and words, that a worker remembers.
-CACHE = 300_000
+CACHE = 250_000
 #: No id: parts the ids of chunks that are encoded together.
 BREAK = b"\xff\xff\xff\xff"
 #: Larger than any rank.
@@ -206,9 +206,29 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
     return map_batches(docs, batch, schema_with(docs, decoded, "string"))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``docs`` with ``ids`` and with their ``decoded`` text, both in one pass and one worker."""
+    docs = docs.drop(ids, decoded)
+    at = docs.columns.index(text)
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        vocab = vocabulary(path)
+        coded = vocab.encode(texts_of(b.column(at)))
+        column = list_array(np.frombuffer(b"".join(coded), dtype="<i4"), np.cumsum([0, *(len(x) // 4 for x in coded)]), pa.int32())
+        texts = pa.array([vocab.decode(np.frombuffer(x, dtype="<i4")) for x in coded], pa.string())
+        return pa.RecordBatch.from_arrays([*b.columns, column, texts], names=[*b.schema.names, ids, decoded])
+
+    return map_batches(docs, batch, schema_with(schema_frame(docs, ids, "array<int>"), decoded, "string"))
+
+
+def schema_frame(df: DataFrame, name: str, kind: str) -> DataFrame:
+    """``df`` with one more column, of nulls."""
+    return df.withColumn(name, F.lit(None).cast(kind))
+
+
 def schema_with(df: DataFrame, name: str, kind: str):
     """The schema of ``df`` with one more column."""
-    return df.select("*", F.lit(None).cast(kind).alias(name)).schema
+    return schema_frame(df, name, kind).schema
 
 
 def ids_text(ids: str = "ids"):

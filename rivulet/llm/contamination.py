@@ -39,7 +39,7 @@ QUERY_WORDS = 500_000
 #: Documents of a block of the index.
 BLOCK_ROWS = 400
 #: Words that a worker remembers the hash of.
-CACHE = 500_000
+CACHE = 200_000
 #: Empty places between documents; at least a window and its slop.
 PAD = 64
 

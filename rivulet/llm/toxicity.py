@@ -123,7 +123,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     vocab += [t for t in names if t not in vocab]
     known = F.array(*map(F.lit, vocab))
     at = {w: i for i, w in enumerate(vocab)}
-    rows = bags.select("toxic", F.array_intersect("words", known).alias("words")).orderBy("toxic", "words").collect()
+    # a bounded sample of short lists; their order is fixed, so that the sums are
+    rows = sorted(bags.select("toxic", F.array_intersect("words", known).alias("words")).collect())
     x, change = np.zeros((len(rows), len(vocab))), []
     for i, r in enumerate(rows):
         x[i, [at[w] for w in r["words"]]] = 1

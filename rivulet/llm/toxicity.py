@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier kept even-handed by counterfactuals.
 
-Words are chosen and weighted on a bounded sample of labelled documents.  For
-each labelled text that names a group of people, a counterfactual is made by
+Words, and beginnings of words, since insults are inflected, are chosen and
+weighted on a bounded sample of labelled documents.  For each labelled text that names a group of people, a counterfactual is made by
 swapping the name for another of its set; the change of the score from one to
 the other is penalised, so that naming a group neutrally moves no score.
 Scoring then takes one pass over all texts, whole.
@@ -14,6 +14,8 @@ toxic labels (0 if there are none).
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.bpe import schema_with
-from rivulet.llm.common import map_batches, spool, texts_of
+from rivulet.llm.common import arrow_limits, map_batches, spool, texts_of
 from rivulet.llm.contamination import words_of
 
 #: Sets of names of groups of people; a name is swapped for the next one of its set.
@@ -41,22 +43,55 @@ class Settings:
 
     positives: int = 4_000
     negatives: int = 8_000
-    words: int = 256
+    features: int = 400
     least_documents: int = 5
     least_gain: float = 15.0
-    weight_penalty: float = 0.5
+    weight_penalty: float = 0.2
     swap_penalty: float = 4.0
     terms: tuple[tuple[str, ...], ...] = field(default=IDENTITY_TERMS)
 
 
+#: Lengths, in bytes, of beginnings of words.
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Words that a worker remembers the features of.
+CACHE = 200_000
+
+
+def features_of(word: bytes) -> list[str]:
+    """A word and its beginnings, byte for character."""
+    w = word.decode("latin-1")
+    return [w, *("^" + w[:k] for k in BEGINNINGS if len(w) > k)]
+
+
+class Known(dict):
+    """The features of each word that are among ``wanted``."""
+
+    def __init__(self, wanted) -> None:
+        self.wanted = frozenset(wanted)
+
+    def __missing__(self, word: bytes) -> tuple[str, ...]:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = out = tuple(f for f in features_of(word) if f in self.wanted)
+        return out
+
+    def present(self, words) -> list[str]:
+        """The wanted features that the words have, sorted."""
+        return sorted(set().union(*map(self.__getitem__, set(words))))
+
+
 @dataclass(frozen=True)
 class Model:
     bias: float
-    weights: dict[bytes, float]
+    weights: dict[str, float]
+
+    def scorer(self):
+        """A function from texts to scores."""
+        known, weights, bias = Known(self.weights), self.weights, self.bias
+        return lambda text: float(1 / (1 + np.exp(-np.clip(bias + sum(weights[f] for f in known.present(words_of(text))), -500, 500))))
 
     def score(self, text: str) -> float:
-        z = self.bias + sum(self.weights[w] for w in sorted(self.weights.keys() & set(words_of(text))))
-        return float(1 / (1 + np.exp(-z)))
+        return self.scorer()(text)
 
 
 def sample(labels: DataFrame, s: Settings) -> tuple[DataFrame, float, float]:
@@ -75,10 +110,10 @@ def gain(with_p: Column, with_n: Column, p: Column, n: Column) -> Column:
     return 2 * (part(a, a + b, p) + part(b, a + b, n) + part(c, c + d, p) + part(d, c + d, n))
 
 
-def swapped(present: set[str], terms: tuple[tuple[str, ...], ...]) -> set[str]:
+def swapped(words: set[bytes], terms: tuple[tuple[str, ...], ...]) -> set[bytes]:
     """The words of the text with every group name swapped for the next of its set."""
-    after = {t: s[(i + 1) % len(s)] for s in terms for i, t in enumerate(s)}
-    return {after.get(w, w) for w in present}
+    after = {t.encode(): s[(i + 1) % len(s)].encode() for s in terms for i, t in enumerate(s)}
+    return {after.get(w, w) for w in words}
 
 
 def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, s: Settings) -> np.ndarray:
@@ -109,44 +144,58 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         return Model(30.0 if positives else -30.0, {})
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        words = [sorted({w.decode() for w in words_of(t)}) for t in texts_of(b.column(1))]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+    def bag(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([sorted(set(words_of(t))) for t in texts_of(b.column(1))], pa.list_(pa.binary()))], names=["toxic", "words"])
+
+    def count(b: pa.RecordBatch) -> pa.RecordBatch:
+        by_kind: tuple[Counter, Counter] = (Counter(), Counter())
+        for toxic, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            by_kind[toxic].update({f for w in words for f in features_of(w)})
+        names = sorted(by_kind[0].keys() | by_kind[1].keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([by_kind[k][x] for x in names], pa.int64()) for k in (1, 0))], names=["feature", "a", "b"])
 
-    bags = spool(map_batches(rows, batch, f"toxic {dict(rows.dtypes)['toxic']}, words array<string>"), "bags")
+    bags = spool(map_batches(rows, bag, "toxic bigint, words array<binary>"), "bags")
     n = bags.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
     p, m = F.lit(float(n["p"])), F.lit(float(n["n"] - n["p"]))
-    by_word = bags.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
-    best = by_word.where(F.col("a") + F.col("b") >= s.least_documents).withColumn("gain", gain(F.col("a"), F.col("b"), p, m)).where(F.col("gain") >= s.least_gain)
-    vocab = [r["word"] for r in best.orderBy(F.desc("gain"), "word").limit(s.words).collect()]
-    names = [t for group in s.terms for t in group]
-    vocab += [t for t in names if t not in vocab]
-    known = F.array(*map(F.lit, vocab))
-    at = {w: i for i, w in enumerate(vocab)}
+    counted = map_batches(bags, count, "feature string, a bigint, b bigint").groupBy("feature").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
+    best = counted.where(F.col("a") + F.col("b") >= s.least_documents).withColumn("gain", gain(F.col("a"), F.col("b"), p, m)).where(F.col("gain") >= s.least_gain)
+    vocab = [r["feature"] for r in best.orderBy(F.desc("gain"), "feature").limit(s.features).collect()]
+    vocab += [t for t in (t.encode().decode("latin-1") for group in s.terms for t in group) if t not in vocab]
+    at = {f: i for i, f in enumerate(vocab)}
+
+    def look(b: pa.RecordBatch) -> pa.RecordBatch:
+        known = Known(vocab)
+        words = b.column(1).to_pylist()
+        both = [[known.present(w) for w in words], [known.present(swapped(set(w), s.terms)) for w in words]]
+        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([[at[f] for f in x] for x in y], pa.list_(pa.int32())) for y in both)], names=["toxic", "has", "swapped"])
+
     # a bounded sample of short lists; their order is fixed, so that the sums are
-    rows = sorted(bags.select("toxic", F.array_intersect("words", known).alias("words")).collect())
+    rows = sorted(map_batches(bags, look, "toxic bigint, has array<int>, swapped array<int>").collect())
     x, change = np.zeros((len(rows), len(vocab))), []
     for i, r in enumerate(rows):
-        x[i, [at[w] for w in r["words"]]] = 1
-        if (other := swapped(set(r["words"]), s.terms)) != set(r["words"]):
+        x[i, r["has"]] = 1
+        if r["swapped"] != r["has"]:
             row = -x[i]
-            row[[at[w] for w in other]] += 1
+            row[r["swapped"]] += 1
             change.append(row)
     w = fit(x, np.array([r["toxic"] for r in rows], dtype=float), np.array(change).reshape(len(change), len(vocab)), s)
     # the sample holds more of one kind than there is: the bias goes back to the true shares
     shift = np.log(positives / negatives) - np.log(max(1, n["p"]) / max(1, n["n"] - n["p"]))
-    return Model(float(w[-1] + shift), {v.encode(): float(round(c, 12)) for v, c in zip(vocab, w[:-1], strict=True) if abs(c) > 1e-9})
+    return Model(float(w[-1] + shift), {f: float(round(c, 12)) for f, c in zip(vocab, w[:-1], strict=True) if abs(c) > 1e-9})
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "toxicity") -> DataFrame:
     """``docs`` with a column: how likely the text is toxic, from 0 to 1."""
     docs = docs.drop(column)
     at = docs.columns.index(text)
+    arrow_limits(docs.sparkSession)
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array([model.score(t) for t in texts_of(b.column(at))], pa.float64())], names=[*b.schema.names, column])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = model.scorer()
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t) for t in texts_of(b.column(at))], pa.float64())], names=[*b.schema.names, column])
 
-    return map_batches(docs, batch, schema_with(docs, column, "double"))
+    return docs.mapInArrow(run, schema_with(docs, column, "double"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

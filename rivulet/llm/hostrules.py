@@ -78,12 +78,15 @@ def measured(docs: DataFrame, host: str = "source", doc_id: str = "doc_id", text
 
 
 def beta_prior(n: Column, failed: Column) -> tuple[Column, Column]:
-    """Moments of the hosts' rates: mean, and the prior's strength (as if so many documents)."""
-    rate = failed / n
-    mean = F.sum(failed) / F.sum(n)
-    noise = mean * (1 - mean) * F.avg(1 / n)
-    spread = F.greatest(F.var_pop(rate) - noise, F.lit(1e-9))
-    return mean, F.greatest(F.lit(1.0), F.least(F.lit(1e6), mean * (1 - mean) / spread - 1))
+    """Mean of the hosts' rates, and the prior's strength (as if so many documents), by weighted moments.
+
+    What rates differ beyond the chance of counts of their size is the spread of
+    the prior: the wider it is, the fewer documents it weighs.
+    """
+    total, hosts = F.sum(n), F.count(n)
+    mean = F.sum(failed) / total
+    spread = F.sum(failed * failed / n) / total - mean * mean - mean * (1 - mean) * hosts / total
+    return mean, F.greatest(F.lit(1.0), F.least(F.lit(1e6), mean * (1 - mean) / F.greatest(spread, F.lit(1e-9)) - 1))
 
 
 def host_rates(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:

@@ -13,7 +13,8 @@ earlier span comes from a table with one row for each URL and span.
 
 Null URLs have no canonical URL: their revisits stay unresolved ("orphan").
 Null times come first; responses of the same time as a revisit are not earlier.
-Among responses of one URL and time the one with the largest id counts.
+Among responses of one URL and time the one with the largest id counts.  Rows
+that repeat an id are captures with one resolution; each revisit row is kept.
 """
 
 from __future__ import annotations
@@ -71,8 +72,8 @@ def resolve(captures: DataFrame, span: int = 1 << 12) -> DataFrame:
     cells = cells.select("uri", "span", F.last("last", ignorenulls=True).over(before).alias("carried"))
     earlier = Window.partitionBy("uri", "span").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     asked = keyed.withColumn("here", F.max(full).over(earlier)).where("kind = 'revisit'")
-    found = asked.join(cells, ["uri", "span"]).select("id", F.coalesce("here", "carried")["id"].alias("response_id"))
-    responses = rows.where("kind = 'response'").select(F.col("id").alias("response_id"), F.col("headers").alias("full_headers"), F.col("payload").alias("body"))
+    found = asked.join(cells, ["uri", "span"]).groupBy("id").agg(F.max(F.coalesce("here", "carried")["id"]).alias("response_id"))
+    responses = rows.where("kind = 'response'").select(F.col("id").alias("response_id"), F.col("headers").alias("full_headers"), F.col("payload").alias("body")).dropDuplicates(["response_id"])
     joined = rows.where("kind = 'revisit'").drop("payload", "kind", "at").join(found, "id", "left").join(responses, "response_id", "left")
     same = agrees(F.col("full_headers"), F.col("headers"))
     status = F.when(F.col("response_id").isNull(), "orphan").when(same, "matched").when(~same, "mismatch").otherwise("unchecked")

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 ALL, NULL = "a", "n"
 DAY = re.compile(r"^\s*(?:to_date|date)\(\s*`?(\w+)`?\s*\)\s*$|^\s*cast\(\s*`?(\w+)`?\s+as\s+date\s*\)\s*$", re.I)
@@ -48,10 +48,11 @@ def in_partitions(df: DataFrame, expr: str, tokens: set[str]) -> Column:
         return F.lit(True)
     values = sorted(value(t) for t in tokens if t != NULL)
     kind = df.select(F.expr(expr).alias("p")).schema[0].dataType
-    found = [F.expr(expr).isNull()] if NULL in tokens else []
     day = DAY.match(expr)
     column = (day[1] or day[2]) if day else None
-    if column and isinstance(kind, DateType) and not isinstance(df.schema[column].dataType, DateType) if column and column in df.columns else False:
+    by_range = column in df.columns and isinstance(kind, DateType) and isinstance(df.schema[column].dataType, (TimestampType, TimestampNTZType))
+    found = [F.col(column).isNull() if by_range else F.expr(expr).isNull()] if NULL in tokens else []
+    if by_range:
         of = df.schema[column].dataType
         found += [(F.col(column) >= F.lit(a.isoformat()).cast(of)) & (F.col(column) < F.lit(b.isoformat()).cast(of)) for a, b in day_ranges([date.fromisoformat(v) for v in values])]
     elif values:

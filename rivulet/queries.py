@@ -15,8 +15,9 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.operators import compare, detect, fingerprints, graph, variants
+from rivulet.operators import compare, costmodel, detect, fingerprints, graph, variants
 from rivulet.operators.engine import Engine, Policy
+from rivulet.plans import lineage
 from rivulet.sources.models import Model, model, source
 
 DAY = datetime(2024, 1, 1)
@@ -202,7 +203,7 @@ for _name, _parts in FLIGHTS.items():
 FACTS = f"select {YEAR} as d_year, cr.r_name as c_region, sr.r_name as s_region, count(*) as n, {REVENUE} as revenue {STAR_FROM} group by {YEAR}, cr.r_name, sr.r_name"
 add("star_fact_sales", run_sql(FACTS), plain(FACTS))
 
-for _module in (detect, fingerprints, graph, compare, variants):
+for _module in (detect, fingerprints, graph, compare, variants, costmodel, lineage):
     for _name, (_query, _sql) in _module.queries().items():
         add(_name, _query, _sql)
 

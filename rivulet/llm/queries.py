@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rivulet.llm import bpe, contamination, hostrules, licenses, secrets, simhash, tokenfile, toxicity, urls, warc
+from rivulet.llm.oracles import ORACLES as ORACLES
 
 #: Rules for URLs (domain and path).
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
@@ -54,8 +55,8 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve(warc.captures_of(table(spark, sf_dir, "pages")))
     header = lambda k: F.element_at("headers", k)
     return found.select(
-        F.expr("(id - 1) div 2").alias("page_id"), "uri", F.expr("response_id div 2").alias("response_page_id"), "status",
-        header("date").alias("header_date"), header("content-length").alias("header_length"), F.length("payload").cast("long").alias("payload_chars"),
+        F.expr("(id - 1) div 2").alias("page_id"), "uri", F.expr("coalesce(response_id div 2, -1)").alias("response_page_id"), "status",
+        header("date").alias("header_date"), header("content-length").alias("header_length"), F.coalesce(F.length("payload"), F.lit(0)).cast("long").alias("payload_chars"),
     )
 
 

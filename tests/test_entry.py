@@ -17,6 +17,6 @@ def test_without_corpus_operators(tmp_path):
     """Everything but the corpus operators imports after they are gone."""
     for p in ("rivulet", "__spark_entry__.py"):
         subprocess.run(["cp", "-r", str(ROOT / p), str(tmp_path / p)], check=True)
-    subprocess.run(["rm", "-r", str(tmp_path / "rivulet/llm")], check=True)
+    subprocess.run(["rm", "-rf", str(tmp_path / "rivulet/llm")], check=True)
     code = "import __spark_entry__ as e; assert not [q for q in e.queries() if q.startswith('op') or q == 'pipeline']; print(len(e.queries()))"
     assert int(subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout) > 60

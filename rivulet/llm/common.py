@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,14 @@ def spool(df: DataFrame, what: str, **options: str) -> DataFrame:
 
 
 def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keeps the batches that Python workers get small, also with long texts."""
+    """Keeps the batches that Python workers get small, also with long texts, and lets workers find this package.
+
+    Workers look for it where the driver has it, besides their own path; where
+    that folder doesn't exist, nothing changes.
+    """
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parent.parent.parent)
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), home]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

@@ -82,6 +82,7 @@ BY_TYPE = f"select event_type, count(*) as n, {MONEY('value')} as total from {{e
 BY_MONTH = f"select cast(date_trunc('month', o_orderdate) as date) as month, count(*) as n, {MONEY('o_totalprice')} as total from {{orders}} group by cast(date_trunc('month', o_orderdate) as date)"
 BY_USER = f"select user_id, max(ts) as last_ts, count(*) as n, {MONEY('value')} as total from {{events}} group by user_id"
 LATEST = "select user_id, event_id, ts, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from {events}) as x where rn = 1"
+LATEST_QUALIFY = "select user_id, event_id, ts, event_type from {events} qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1"
 KEYED_SRC = "select event_id, nullif(user_id % 5, 0) as grp, ts, value from {events}"
 NULL_GROUP = f"select grp, max(ts) as last_ts, count(*) as n, {MONEY('value')} as total from {{grouped}} group by grp"
 ENRICHED = "select o.o_orderkey, o.o_custkey, o.o_orderdate, c.c_mktsegment, c.c_acctbal from {orders} as o left join {customer} as c on o.o_custkey = c.c_custkey"
@@ -141,6 +142,7 @@ add_incremental("inc_data_dependent", BY_TYPE, [EVENTS], {"events": one_day_alte
 add_incremental("inc_upsert_late_update", BY_MONTH, [ORDERS], {"orders": late_orders}, "month")
 add_incremental("inc_keyed_groupby", BY_USER, [EVENTS], {"events": one_day_altered}, "date(last_ts)")
 add_incremental("inc_keyed_latest_row", LATEST, [EVENTS], {"events": without_last_day}, "date(ts)")
+add_incremental("inc_keyed_qualify", LATEST_QUALIFY, [EVENTS], {"events": without_last_day}, "date(ts)")
 add("inc_keyed_null_key", incremental([EVENTS, model("grouped", KEYED_SRC, "date(ts)"), model("result", NULL_GROUP, "date(last_ts)")], {"events": one_day_altered}, "result", ("coalesce(grp, -1) as grp", "last_ts", "n", "total")), f"select * replace (coalesce(grp, -1) as grp) from ({plain(NULL_GROUP, grouped=KEYED_SRC)})")
 add_incremental("inc_outer_join_key_mode", ENRICHED, [ORDERS, CUSTOMER], {"customer": other_segment}, MONTH)
 add_incremental("inc_outer_join_partition_mode", ENRICHED_PART, [ORDERS, CUSTOMER], {"customer": other_segment}, MONTH)

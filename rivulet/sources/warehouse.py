@@ -24,6 +24,8 @@ from pyspark.sql.types import StringType, StructType
 from rivulet.functions.predicates import ALL, NULL, table_hash, token, value
 
 PART = "__part"
+#: Versions whose file listing is remembered.
+LISTED = 256
 
 
 def replace_file(path: Path, text: str) -> None:
@@ -41,6 +43,7 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, Path(root)
         self.path = self.root / "manifest.json"
+        self._listed: dict[tuple[str, str, str], DataFrame] = {}
         self.state = json.loads(self.path.read_text(encoding="utf-8")) if self.path.exists() else {"tables": {}, "dirty": [], "pending": {}}
 
     def commit(self) -> None:
@@ -65,12 +68,20 @@ class Warehouse:
         out = f"{self.root}/{name}/{version}"
         part = F.expr(partition).cast("string") if partition else F.lit("*")
         columns = df.columns
-        df.withColumn(PART, part).write.partitionBy(PART).parquet(out)
+        marked = df.withColumn(PART, part)
+        # rows of a partition meet in few files; adaptive execution splits large partitions again and joins small ones
+        (marked.hint("rebalance", F.col(PART)) if partition else marked.hint("rebalance")).write.partitionBy(PART).parquet(out)
         found = self.version(name, version, df.schema).groupBy(PART).agg(F.count("*").alias("n"), table_hash(columns).alias("h")).collect() if any((self.root / name / version).glob(f"{PART}=*")) else []
         return {(token(r[PART]) if partition else ALL): {"version": version, "rows": r["n"], "hash": r["h"]} for r in found}
 
     def version(self, name: str, version: str, schema: StructType) -> DataFrame:
-        return self.spark.read.schema(StructType([*schema.fields]).add(PART, StringType())).parquet(f"{self.root}/{name}/{version}")
+        """All rows of a version's folder.  Folders never change once written, so their files are listed once."""
+        key = name, version, schema.json()
+        if key not in self._listed:
+            if len(self._listed) >= LISTED:
+                self._listed.clear()
+            self._listed[key] = self.spark.read.schema(StructType([*schema.fields]).add(PART, StringType())).parquet(f"{self.root}/{name}/{version}")
+        return self._listed[key]
 
     def read(self, name: str, parts: dict[str, dict] | None = None, tokens: set[str] | None = None) -> DataFrame:
         """A table, or the partitions given of it; ``parts`` may be those of an older state."""
@@ -97,6 +108,7 @@ class Warehouse:
         used |= {(e["parent"], e["old"]) for e in self.state["dirty"] if e.get("old")}
         used |= {(n, v) for n, old in self.state["pending"].items() for v in old.values() if v}
         gone = [p for n in self.state["tables"] for p in (self.root / n).glob("*") if (n, p.name) not in used]
+        self._listed.clear()
         for p in gone:
             shutil.rmtree(p)
         return len(gone)

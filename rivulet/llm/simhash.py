@@ -17,6 +17,8 @@ value).  No pair is lost, and none is cut off.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -119,8 +121,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     it is null only if all ids of the component are.
     """
     rows = spool(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words).drop("text"), "fingerprints")
+    return grouped(rows, lambda classes: links(classes, threshold, crowd))
+
+
+def grouped(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, fp, component_id) of rows (doc_id, fp); ``link`` gives the pairs (a, b) of linked classes (fp, first)."""
     classes = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    labels = components(links(classes, threshold, crowd))
+    labels = components(link(classes))
     of = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = of.where("label != fp or first is not null").groupBy("label").agg(F.min("first").alias("component_id"))
     known = spool(of.join(least, "label", "left").select("fp", "component_id"), "components")
@@ -133,7 +140,12 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     Of rows that repeat that id one stays; of a group whose ids are all null,
     or of which no id is known, one row stays.
     """
-    found = spool(near_duplicates(docs, doc_id, text, **options), "near")
+    return keep_first(docs, near_duplicates(docs, doc_id, text, **options), lambda d, column: fingerprints(d, text, column), doc_id)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, marked: Callable[[DataFrame, str], DataFrame], doc_id: str = "doc_id") -> DataFrame:
+    """The rows that ``deduplicate`` keeps, given (doc_id, fp, component_id); ``marked`` adds fp to documents, in a column of the given name."""
+    found = spool(found, "near")
     kept = docs.where(F.col(doc_id).isNotNull())
     gone = small(found.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct())
     kept = kept.join(gone, doc_id, "left_anti").select(*docs.columns)
@@ -143,7 +155,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
         once = kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
         kept = kept.join(again, doc_id, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
     if found.where("component_id is null").limit(1).count():
-        alone = fingerprints(docs.where(F.col(doc_id).isNull()), text, "__fp")
+        alone = marked(docs.where(F.col(doc_id).isNull()), "__fp")
         groups = found.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
         kept = kept.unionByName(alone.join(groups, "__fp").dropDuplicates(["__fp"]).select(*docs.columns))
     return kept

@@ -123,3 +123,30 @@ def fast_hit(wins):
 
     n = Counter(wins)
     return {i + k for i, x in enumerate(wins) if n[x] > 1 for k in range(3)}
+
+
+def shingles(text, words=5):
+    w = re.findall("[^\x20\x09-\x0d]+", low(text))
+    return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+
+def similar_groups(rows):
+    """The smallest id of each row's group; sets of shingles with a similarity of 0.8 or more are linked."""
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            same = len(x & y)
+            if x == y or 9 * same >= 4 * (len(x) + len(y)) > 0:
+                label[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, least.get(root(i))) for i, (d, _) in enumerate(rows)]

@@ -1,8 +1,9 @@
 """License scans with ordered signature rules, in DataFrame functions alone.
 
-A text passes a keyword gate first; most end there.  Each rule then has its own
-keyword, and only rules whose keyword the text contains run their pattern, over
-the whole text, and give an interval for each match.  Rules have a priority: an
+Rules that share a keyword and a head, which all their matches contain, are a
+group.  Only the rules of groups whose keyword and head a text has run their
+pattern, over the whole text, and give an interval for each match; groups come
+from the rules themselves, so no rule is passed over.  Rules have a priority: an
 identifier in a tag outranks a named license, that a loose mention.  A match
 that lies within one of the same or a higher rank is suppressed; sorted by
 start, one fold decides this with the furthest end of each rank, so nothing is
@@ -27,8 +28,6 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 #: Ranks of the rules, and how sure a match of each is.
 TAG, NAMED, LOOSE = 0, 1, 2
 SURE = {TAG: 1.0, NAMED: 0.9, LOOSE: 0.5}
-#: What any rule's keyword comes with; texts without it have no match.
-GATE = ("licen", "copyright", "spdx", "public domain", "creative commons", "creativecommons", "copyleft", "warranty", "permission is hereby")
 
 
 @dataclass(frozen=True)
@@ -37,13 +36,15 @@ class Rule:
     rank: int
     keyword: str
     pattern: str
+    #: What every match contains, as a pattern that is quick to look for.
+    head: str = ""
 
 
 def family(label: str, names: dict[str, str], versions: tuple[str, ...] = ()) -> list[Rule]:
     """Rules of a license: its tag, each of its names (keyword and pattern) with the version, and the names alone."""
     tag = rf"spdx-license-identifier:\s*\(?{label}"
     if not versions:
-        return [Rule(label, TAG, "spdx", tag + r"(?![\w.+-])"), *(Rule(label, NAMED, k, rf"\b(?:{n})(?!\w)") for k, n in names.items())]
+        return [Rule(label, TAG, "spdx", tag + r"(?![\w.+-])"), *(Rule(label, NAMED, k, rf"\b(?:{n})(?!\w)", n) for k, n in names.items())]
     out = []
     for v in versions:
         number = v.replace(".", r"\.")
@@ -51,8 +52,8 @@ def family(label: str, names: dict[str, str], versions: tuple[str, ...] = ()) ->
         out += [Rule(f"{label}-{v}-or-later", TAG, "spdx", rf"{tag}-{number}(?:-or-later|\+)"), Rule(f"{label}-{v}", TAG, "spdx", rf"{tag}-{number}(?:-only)?(?![\w.+-])")]
         for k, n in names.items():
             versioned = rf"\b(?:{n})[\s,(-]{{0,4}}(?:version|v\.?)?\s?{number}"
-            out += [Rule(f"{label}-{v}", NAMED, k, versioned + r"(?![\w.]\d)"), Rule(f"{label}-{v}-or-later", NAMED, k, versioned + r"[,)]?\s(?:or|and)\s(?:\(at your option\)\s)?(?:any\s)?later")]
-    return out + [Rule(label, LOOSE, k, rf"\b(?:{n})(?!\w)") for k, n in names.items()]
+            out += [Rule(f"{label}-{v}", NAMED, k, versioned + r"(?![\w.]\d)", n), Rule(f"{label}-{v}-or-later", NAMED, k, versioned + r"[,)]?\s(?:or|and)\s(?:\(at your option\)\s)?(?:any\s)?later", n)]
+    return out + [Rule(label, LOOSE, k, rf"\b(?:{n})(?!\w)", n) for k, n in names.items()]
 
 
 #: Versioned licenses: each name's keyword and pattern, and the versions.
@@ -169,16 +170,21 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     them to the base labels.  score is how sure the surest of all is.
     """
     own = rules() if signatures is None else signatures
-    table = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.rank).alias("rank"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in own))
+    groups: dict[tuple[str, str], list[Rule]] = {}
+    for r in own:
+        groups.setdefault((r.keyword, r.head), []).append(r)
+    kind = "array<struct<label:string,rank:int,keyword:string,pattern:string>>"
+    table = lambda rs: F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.rank).alias("rank"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern")) for r in rs)).cast(kind)
+    has = lambda k, head: F.contains("t", F.lit(k)) & F.rlike("t", F.lit(head)) if head else F.contains("t", F.lit(k))
+    chosen = F.concat(F.array().cast(kind), *(F.when(has(*g), table(rs)).otherwise(F.array().cast(kind)) for g, rs in groups.items()))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.lower(F.coalesce(text, F.lit(""))).alias("t"))
-    gate = reduce(Column.__or__, [F.contains("t", F.lit(k)) for k in GATE])
     # a text that holds a phrase contains its words and, with anything between words, the phrase; places() then decides
     spread = lambda p: reduce(Column.__and__, [F.contains("t", F.lit(w)) for w in sorted(p.split(), key=len, reverse=True)]) & F.rlike("t", F.lit(f"{NOT_WORD}+".join(p.split())))
     ws = F.when(reduce(Column.__or__, map(spread, phrases)), words("t"))
-    rows = rows.select("doc_id", "t", count_words("t").alias("n_words"), ws.alias("ws"), gate.alias("gate"))
+    rows = rows.select("doc_id", "t", count_words("t").alias("n_words"), ws.alias("ws"), chosen.alias("chosen"))
     none = F.array().cast("array<int>")
     found = {p: F.when(F.col("ws").isNotNull(), places(F.col("ws"), p)).otherwise(none) for p in phrases}
-    rows = rows.select("doc_id", "n_words", *(c.alias(f"p{i}") for i, c in enumerate(found.values())), F.when(F.col("gate"), kept(F.flatten(F.transform(F.filter(table, lambda r: F.contains("t", r["keyword"])), lambda r: matches("t", r))))).otherwise(F.array().cast("array<struct<rank:int,label:string>>")).alias("detections"))
+    rows = rows.select("doc_id", "n_words", *(c.alias(f"p{i}") for i, c in enumerate(found.values())), F.when(F.size("chosen") > 0, kept(F.flatten(F.transform("chosen", lambda r: matches("t", r))))).otherwise(F.array().cast("array<struct<rank:int,label:string>>")).alias("detections"))
     spots = F.concat(*(F.col(f"p{i}") for i in range(len(found))))
     base = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))
     sure = F.transform("detections", lambda d: reduce(lambda c, r: c.when(d["rank"] == r[0], F.lit(r[1])), list(SURE.items())[1:], F.when(d["rank"] == TAG, F.lit(SURE[TAG]))))

@@ -65,6 +65,17 @@ def test_license_rules(spark):
     assert len(licenses.rules()) > 300 and all(x.keyword for x in licenses.rules())
 
 
+def test_license_rules_without_other_license_words(spark):
+    """Texts with the words of one rule alone, and no word such as license or copyright."""
+    alone = {
+        "All rights reserved.": "proprietary", "released under GPLv2": "gpl-2.0", "LGPL 2.1": "lgpl-2.1", "agpl-3.0": "agpl-3.0", "MPL 2.0": "mpl-2.0", "EPL-1.0": "epl-1.0", "EUPL 1.2": "eupl-1.2",
+        "CDDL 1.1": "cddl-1.1", "OFL 1.1": "ofl-1.1", "GFDL 1.3": "gfdl-1.3", "LPPL 1.3": "lppl-1.3", "CeCILL 2.1": "cecill-2.1", "CC0 1.0": "cc0-1.0", "CC BY-SA 4.0": "cc-by-sa-4.0", "bsd-3-clause": "bsd-3-clause",
+        "two clause BSD": "bsd-2-clause", "wtfpl": "wtfpl", "ODbL": "odbl-1.0",
+    }
+    found = licenses.scan(spark.createDataFrame([(t, t) for t in alone], "doc_id string, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {t: ([label], 0.9) for t, label in alone.items()}
+
+
 def test_token_file(spark, small_dir, rows, paths):
     lib = Tokenizer.from_file(paths["word_bpe_49k.json"])
     first = {}

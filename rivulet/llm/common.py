@@ -71,6 +71,14 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, so that no column of the caller is lost."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column; null counts as the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.bpe import schema_with
-from rivulet.llm.common import map_batches, small, spool, texts_of
+from rivulet.llm.common import BROADCAST_ROWS, fresh, map_batches, small, spool, texts_of
 from rivulet.llm.components import components
 
 #: Shingles whose bits are counted at a time, so that a long text needs no more memory.
@@ -114,48 +114,58 @@ def links(classes: DataFrame, threshold: int = 3, crowd: int = CROWD) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = 3, words: int = 3, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, fp, component_id) of every row.
+    """(doc_id, fp, component_id, label) of every row.
 
     component_id is the smallest doc_id reachable over links, the row's own
     included.  Rows with a null doc_id get the component's id like any other;
-    it is null only if all ids of the component are.
+    it is null only if all ids of the component are.  label names the component
+    whatever its ids.
     """
     rows = spool(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), words=words).drop("text"), "fingerprints")
     return grouped(rows, lambda classes: links(classes, threshold, crowd))
 
 
 def grouped(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(doc_id, fp, component_id) of rows (doc_id, fp); ``link`` gives the pairs (a, b) of linked classes (fp, first)."""
+    """(doc_id, fp, component_id, label) of rows (doc_id, fp); ``link`` gives the pairs (a, b) of linked classes (fp, first)."""
     classes = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     labels = components(link(classes))
     of = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = of.where("label != fp or first is not null").groupBy("label").agg(F.min("first").alias("component_id"))
-    known = spool(of.join(least, "label", "left").select("fp", "component_id"), "components")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id")
+    least = of.groupBy("label").agg(F.min("first").alias("component_id"))
+    known = spool(of.join(least, "label").select("fp", "component_id", "label"), "components")
+    return rows.join(known, "fp").select("doc_id", "fp", "component_id", "label")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest doc_id.
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+    """One row of each group of near-duplicates: one with the smallest doc_id.
 
-    Of rows that repeat that id one stays; of a group whose ids are all null,
-    or of which no id is known, one row stays.
+    Rows are told apart by id and fingerprint, so of rows that repeat an id with
+    different texts each counts in its own group; of those of one group that
+    have its smallest id the one with the least fingerprint stays, and of equal
+    ones one.  A row without an id stays only if its whole group has none.
     """
-    return keep_first(docs, near_duplicates(docs, doc_id, text, **options), lambda d, column: fingerprints(d, text, column), doc_id)
+    return keep_first(docs, near_duplicates(docs, doc_id, text, **options), lambda d, column: fingerprints(d, text, column), doc_id, broadcast_rows)
 
 
-def keep_first(docs: DataFrame, found: DataFrame, marked: Callable[[DataFrame, str], DataFrame], doc_id: str = "doc_id") -> DataFrame:
-    """The rows that ``deduplicate`` keeps, given (doc_id, fp, component_id); ``marked`` adds fp to documents, in a column of the given name."""
+def keep_first(docs: DataFrame, found: DataFrame, marked: Callable[[DataFrame, str], DataFrame], doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows that ``deduplicate`` keeps, given (doc_id, fp, component_id, label); ``marked`` adds fp to documents, in a column of the given name.
+
+    Ids alone decide about rows whose id no other row has; they are broadcast up
+    to ``broadcast_rows``, and beyond that the join deals documents by id.  Texts
+    are looked at again only where ids repeat or lack.
+    """
     found = spool(found, "near")
-    kept = docs.where(F.col(doc_id).isNotNull())
-    gone = small(found.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias(doc_id)).distinct())
-    kept = kept.join(gone, doc_id, "left_anti").select(*docs.columns)
-    again = spool(found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(doc_id)), "again")
-    if again.limit(1).count():
-        again = small(again)
-        once = kept.join(again, doc_id, "left_semi").dropDuplicates([doc_id])
-        kept = kept.join(again, doc_id, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
-    if found.where("component_id is null").limit(1).count():
-        alone = marked(docs.where(F.col(doc_id).isNull()), "__fp")
-        groups = found.where("component_id is null").select(F.col("fp").alias("__fp")).distinct()
-        kept = kept.unionByName(alone.join(groups, "__fp").dropDuplicates(["__fp"]).select(*docs.columns))
-    return kept
+    known = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    odd = spool(known.where("n > 1 or gone"), "gone")
+    kept = docs.where(F.col(doc_id).isNotNull()).join(small(odd.select(doc_id), broadcast_rows), doc_id, "left_anti").select(*docs.columns)
+    again, none = odd.where("n > 1").select(doc_id), found.where("doc_id is null").limit(1).count() > 0
+    if not none and not again.limit(1).count():
+        return kept
+    unclear = docs.where(F.col(doc_id).isNotNull()).join(small(again, broadcast_rows), doc_id, "left_semi").select(*docs.columns)
+    if none:
+        unclear = unclear.unionByName(docs.where(F.col(doc_id).isNull()))
+    first = found.where("doc_id <=> component_id").groupBy("doc_id", "label").agg(F.min("fp").alias("fp"))
+    first = first.join(small(again.select(F.col(doc_id).alias("doc_id")), broadcast_rows), "doc_id", "left_semi").unionByName(first.where("doc_id is null")).toDF("i", "label", "f")
+    mark = fresh(docs, "fp")
+    rows = marked(unclear, mark).dropDuplicates([doc_id, mark])
+    chosen = rows.join(first.select("i", "f").distinct(), F.col(doc_id).eqNullSafe(F.col("i")) & (F.col(mark) == F.col("f")), "left_semi")
+    return kept.unionByName(chosen.select(*docs.columns))

@@ -1,15 +1,20 @@
 """Toxicity: a linear classifier kept even-handed by counterfactuals.
 
-Words, and beginnings of words, since insults are inflected, are chosen and
-weighted on a bounded sample of labelled documents.  For each labelled text that names a group of people, a counterfactual is made by
-swapping the name for another of its set; the change of the score from one to
-the other is penalised, so that naming a group neutrally moves no score.
-Scoring then takes one pass over all texts, whole.
+Features are words, and beginnings of words, since insults are inflected; each
+counts by how dense it is in the text, up to a limit, so that a long text is not
+toxic by chance.  They are hashed to slots, with no vocabulary to choose; those
+that few documents of the sample have are left out.  For each labelled text that
+names a group of people, a counterfactual is made by swapping the name for
+another of its set; the change of the score from one to the other is penalised,
+so that naming a group neutrally moves no score.  The model is fitted on a
+bounded sample of labelled documents; scoring takes one pass over all texts,
+whole, however long they are.
 
 Null text counts as empty and gets the score of a text without known words.
 Labels with a null id or value are left out; an id that is labelled both ways
-counts as toxic.  Without labels of both kinds every score is the share of
-toxic labels (0 if there are none).
+counts as toxic; rows that repeat a labelled id are one example each.  Without
+labels of both kinds every score is 1 if there are only toxic ones, else 0.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +25,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.bpe import schema_with
-from rivulet.llm.common import arrow_limits, map_batches, spool, texts_of
+from rivulet.llm.common import arrow_limits, list_array, map_batches, spool, texts_of
 from rivulet.llm.contamination import words_of
 
 #: Sets of names of groups of people; a name is swapped for the next one of its set.
@@ -39,59 +45,85 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds of the sample and of the model, and the penalties."""
+    """Bounds of the sample, and the penalties."""
 
     positives: int = 4_000
     negatives: int = 8_000
-    features: int = 400
-    least_documents: int = 5
-    least_gain: float = 15.0
-    weight_penalty: float = 0.2
+    least_documents: int = 3
+    weight_penalty: float = 0.01
     swap_penalty: float = 4.0
     terms: tuple[tuple[str, ...], ...] = field(default=IDENTITY_TERMS)
 
 
 #: Lengths, in bytes, of beginnings of words.
 BEGINNINGS = (4, 5, 6, 7, 8)
+#: Slots of features, a power of two.
+SLOTS = 1 << 22
+#: A feature counts fully from once in so many words on; texts count as of so many words at least.
+DENSE, SHORT = 40, 30
 #: Words that a worker remembers the features of.
 CACHE = 200_000
+#: Steps of the fit at most, pairs of steps that it remembers, and the relative gain that ends it.
+STEPS, MEMORY, ENOUGH = 60, 10, 1e-6
 
 
-def features_of(word: bytes) -> list[str]:
-    """A word and its beginnings, byte for character."""
-    w = word.decode("latin-1")
-    return [w, *("^" + w[:k] for k in BEGINNINGS if len(w) > k)]
+def features_of(word: bytes) -> list[int]:
+    """Slots of a word and of its beginnings."""
+    digest = xxhash.xxh64_intdigest
+    return [digest(word) & (SLOTS - 1), *(digest(word[:k], 1) & (SLOTS - 1) for k in BEGINNINGS if len(word) > k)]
 
 
-class Known(dict):
-    """The features of each word that are among ``wanted``."""
+class Slots(dict):
+    """The slots of each word asked for, or where they stand among the sorted slots given; other slots are left out."""
 
-    def __init__(self, wanted) -> None:
-        self.wanted = frozenset(wanted)
+    def __init__(self, wanted: np.ndarray | None = None) -> None:
+        self.wanted = wanted
 
-    def __missing__(self, word: bytes) -> tuple[str, ...]:
+    def __missing__(self, word: bytes) -> np.ndarray:
         if len(self) >= CACHE:
             self.clear()
-        self[word] = out = tuple(f for f in features_of(word) if f in self.wanted)
-        return out
-
-    def present(self, words) -> list[str]:
-        """The wanted features that the words have, sorted."""
-        return sorted(set().union(*map(self.__getitem__, set(words))))
+        x = np.array(features_of(word), dtype=np.int64)
+        if self.wanted is not None:
+            at = np.minimum(np.searchsorted(self.wanted, x), max(0, len(self.wanted) - 1))
+            x = at[self.wanted[at] == x] if len(self.wanted) else x[:0]
+        self[word] = x
+        return x
+
+
+def dense(counts: list[Counter], known: Slots) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, feature, value) of all features that the texts, given as counts of their words, have; sorted."""
+    flat = [known[w] for c in counts for w in c]
+    sizes = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+    text = np.repeat(np.repeat(np.arange(len(counts)), [len(c) for c in counts]), sizes)
+    times = np.repeat(np.fromiter((n for c in counts for n in c.values()), dtype=np.int64, count=len(flat)), sizes)
+    key, at = np.unique(text * SLOTS + np.concatenate([np.empty(0, dtype=np.int64), *flat]), return_inverse=True)
+    total = np.bincount(at, weights=times, minlength=len(key))
+    length = np.array([max(SHORT, sum(c.values())) for c in counts], dtype=float)
+    text = key // SLOTS
+    return text, key % SLOTS, np.minimum(1.0, DENSE * total / length[text]) if len(key) else total
 
 
 @dataclass(frozen=True)
 class Model:
+    """A bias, and the weights of sorted slots."""
+
     bias: float
-    weights: dict[str, float]
+    slots: np.ndarray = field(default_factory=lambda: np.empty(0, dtype=np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def scorer(self):
-        """A function from texts to scores."""
-        known, weights, bias = Known(self.weights), self.weights, self.bias
-        return lambda text: float(1 / (1 + np.exp(-np.clip(bias + sum(weights[f] for f in known.present(words_of(text))), -500, 500))))
+        """A function from lists of texts to scores."""
+        known = Slots(self.slots)
+
+        def score(texts: list[str]) -> np.ndarray:
+            text, feature, value = dense([Counter(words_of(t)) for t in texts], known)
+            z = self.bias + np.bincount(text, weights=value * self.weights[feature], minlength=len(texts))
+            return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+        return score
 
     def score(self, text: str) -> float:
-        return self.scorer()(text)
+        return float(self.scorer()([text])[0])
 
 
 def sample(labels: DataFrame, s: Settings) -> tuple[DataFrame, float, float]:
@@ -102,86 +134,115 @@ def sample(labels: DataFrame, s: Settings) -> tuple[DataFrame, float, float]:
     return take(1, s.positives).unionByName(take(0, s.negatives)), float(n["p"]), float(n["n"] - n["p"])
 
 
-def gain(with_p: Column, with_n: Column, p: Column, n: Column) -> Column:
-    """The log-likelihood ratio (G squared) of a word's presence and the label."""
-    a, b, c, d = with_p, with_n, p - with_p, n - with_n
-    total = p + n
-    part = lambda x, row, col: F.when(x > 0, x * F.log(x * total / (row * col))).otherwise(F.lit(0.0))
-    return 2 * (part(a, a + b, p) + part(b, a + b, n) + part(c, c + d, p) + part(d, c + d, n))
-
-
-def swapped(words: set[bytes], terms: tuple[tuple[str, ...], ...]) -> set[bytes]:
-    """The words of the text with every group name swapped for the next of its set."""
+def swapped(words: Counter, terms: tuple[tuple[str, ...], ...]) -> Counter:
+    """Counts of the words of the text with every group name swapped for the next of its set."""
     after = {t.encode(): s[(i + 1) % len(s)].encode() for s in terms for i, t in enumerate(s)}
-    return {after.get(w, w) for w in words}
+    out: Counter = Counter()
+    for w, n in words.items():
+        out[after.get(w, w)] += n
+    return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, change: np.ndarray, s: Settings) -> np.ndarray:
-    """Weights (the bias last) of the regularised logistic loss, by Newton's steps.
+def loss(w: np.ndarray, x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, change: tuple[np.ndarray, np.ndarray, np.ndarray], s: Settings) -> tuple[float, np.ndarray]:
+    """The regularised logistic loss and its slope; the bias is last.
 
-    ``change`` has, for each counterfactual, what the swap changes in the features.
+    ``x`` has (text, feature, value); ``change`` likewise what each counterfactual changes.
     """
-    x = np.hstack([x, np.ones((len(x), 1))])
-    change = np.hstack([change, np.zeros((len(change), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], s.weight_penalty)
-    ridge[-1] = 1e-6
-    swap = s.swap_penalty * change.T @ change
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - y) + ridge * w + swap @ w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge) + swap, slope)
-        w -= step
-        if np.abs(step).max() < 1e-8:
+    row, feature, value = x
+    z = np.clip(np.bincount(row, weights=value * w[feature], minlength=len(y)) + w[-1], -30, 30)
+    off = 1 / (1 + np.exp(-z)) - y
+    moved = np.bincount(change[0], weights=change[2] * w[change[1]]) if len(change[0]) else np.zeros(1)
+    f = np.log1p(np.exp(z)).sum() - (y * z).sum() + s.weight_penalty / 2 * (w[:-1] ** 2).sum() + s.swap_penalty / 2 * (moved**2).sum()
+    g = np.bincount(feature, weights=value * off[row], minlength=len(w))
+    if len(change[0]):
+        g = g + s.swap_penalty * np.bincount(change[1], weights=change[2] * moved[change[0]], minlength=len(w))
+    g[:-1] += s.weight_penalty * w[:-1]
+    g[-1] = off.sum()
+    return float(f), g
+
+
+def fit(size: int, x, y: np.ndarray, change, s: Settings) -> np.ndarray:
+    """Weights (the bias last) with the least loss, by the limited-memory quasi-Newton method."""
+    w, steps = np.zeros(size + 1), []
+    f, g = loss(w, x, y, change, s)
+    for _ in range(STEPS):
+        way, used = g.copy(), []
+        for d, e in reversed(steps):
+            used.append(d @ way / (d @ e))
+            way -= used[-1] * e
+        way *= steps[-1][0] @ steps[-1][1] / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.abs(g).sum())
+        for (d, e), a in zip(steps, reversed(used), strict=True):
+            way += d * (a - e @ way / (d @ e))
+        size_of, slope = 1.0, g @ way
+        while True:
+            new = w - size_of * way
+            f_new, g_new = loss(new, x, y, change, s)
+            if f_new <= f - 1e-4 * size_of * slope or size_of < 1e-8:
+                break
+            size_of /= 2
+        if f - f_new <= ENOUGH * abs(f):
             break
+        if (new - w) @ (g_new - g) > 1e-12:
+            steps = [*steps, (new - w, g_new - g)][-MEMORY:]
+        w, f, g = new, f_new, g_new
     return w
 
 
+def examples(rows: DataFrame, s: Settings) -> DataFrame:
+    """toxic, features and values of rows (toxic, text), and those of the change that swapping group names makes."""
+    names = {t.encode() for group in s.terms for t in group}
+
+    def look(b: pa.RecordBatch) -> pa.RecordBatch:
+        words = [Counter(words_of(t)) for t in texts_of(b.column(1))]
+        after = [swapped(c, s.terms) if not names.isdisjoint(c) else c for c in words]
+        known, n = Slots(), len(words)
+        columns = []
+        for other in (None, after):
+            text, feature, value = dense(words, known)
+            if other is not None:
+                text2, feature2, value2 = dense(other, known)
+                key, at = np.unique(np.concatenate([text * SLOTS + feature, text2 * SLOTS + feature2]), return_inverse=True)
+                change = np.bincount(at, weights=np.concatenate([-value, value2]), minlength=len(key)) if len(key) else np.empty(0)
+                key, change = key[np.abs(change) > 1e-12], change[np.abs(change) > 1e-12]
+                text, feature, value = key // SLOTS, key % SLOTS, change
+            ends = np.searchsorted(text, np.arange(n + 1))
+            columns += [list_array(feature.astype(np.int32), ends, pa.int32()), list_array(value, ends, pa.float64())]
+        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], names=["toxic", "at", "value", "swap_at", "swap_value"])
+
+    return map_batches(rows, look, "toxic bigint, at array<int>, value array<double>, swap_at array<int>, swap_value array<double>")
+
+
+def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each value of a list column, and the values."""
+    whole = column.combine_chunks()
+    return np.repeat(np.arange(len(whole)), np.diff(whole.offsets.to_numpy())), whole.flatten().to_numpy()
+
+
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
     """Fits the model on labelled documents; ``labels`` has doc_id and toxic (0 or 1)."""
     s = settings
     ids, positives, negatives = sample(labels, s)
     if not positives or not negatives:
-        return Model(30.0 if positives else -30.0, {})
+        return Model(30.0 if positives else -30.0)
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
-
-    def bag(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([sorted(set(words_of(t))) for t in texts_of(b.column(1))], pa.list_(pa.binary()))], names=["toxic", "words"])
-
-    def count(b: pa.RecordBatch) -> pa.RecordBatch:
-        by_kind: tuple[Counter, Counter] = (Counter(), Counter())
-        for toxic, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            by_kind[toxic].update({f for w in words for f in features_of(w)})
-        names = sorted(by_kind[0].keys() | by_kind[1].keys())
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([by_kind[k][x] for x in names], pa.int64()) for k in (1, 0))], names=["feature", "a", "b"])
-
-    bags = spool(map_batches(rows, bag, "toxic bigint, words array<binary>"), "bags")
-    n = bags.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("p"), F.count("*").alias("n")).first()
-    p, m = F.lit(float(n["p"])), F.lit(float(n["n"] - n["p"]))
-    counted = map_batches(bags, count, "feature string, a bigint, b bigint").groupBy("feature").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-    best = counted.where(F.col("a") + F.col("b") >= s.least_documents).withColumn("gain", gain(F.col("a"), F.col("b"), p, m)).where(F.col("gain") >= s.least_gain)
-    vocab = [r["feature"] for r in best.orderBy(F.desc("gain"), "feature").limit(s.features).collect()]
-    vocab += [t for t in (t.encode().decode("latin-1") for group in s.terms for t in group) if t not in vocab]
-    at = {f: i for i, f in enumerate(vocab)}
-
-    def look(b: pa.RecordBatch) -> pa.RecordBatch:
-        known = Known(vocab)
-        words = b.column(1).to_pylist()
-        both = [[known.present(w) for w in words], [known.present(swapped(set(w), s.terms)) for w in words]]
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array([[at[f] for f in x] for x in y], pa.list_(pa.int32())) for y in both)], names=["toxic", "has", "swapped"])
-
-    # a bounded sample of short lists; their order is fixed, so that the sums are
-    rows = sorted(map_batches(bags, look, "toxic bigint, has array<int>, swapped array<int>").collect())
-    x, change = np.zeros((len(rows), len(vocab))), []
-    for i, r in enumerate(rows):
-        x[i, r["has"]] = 1
-        if r["swapped"] != r["has"]:
-            row = -x[i]
-            row[r["swapped"]] += 1
-            change.append(row)
-    w = fit(x, np.array([r["toxic"] for r in rows], dtype=float), np.array(change).reshape(len(change), len(vocab)), s)
+    # a bounded sample; its order is fixed, so that the sums are
+    got = spool(examples(rows, s), "examples").orderBy(F.xxhash64("at", "value", "toxic"), "toxic").toArrow()
+    if not got.num_rows:
+        return Model(-30.0)
+    y = got["toxic"].to_numpy().astype(float)
+    (row, at), (_, value) = flat(got["at"]), flat(got["value"])
+    (swap_row, swap_at), (_, swap_value) = flat(got["swap_at"]), flat(got["swap_value"])
+    often = np.bincount(at, minlength=SLOTS)
+    names = [x for group in s.terms for t in group for x in features_of(t.encode())]
+    slots = np.union1d(np.flatnonzero(often >= s.least_documents), np.array(names, dtype=np.int64))
+    place = np.full(SLOTS, -1, dtype=np.int64)
+    place[slots] = np.arange(len(slots))
+    use, use_swap = place[at] >= 0, place[swap_at] >= 0
+    w = fit(len(slots), (row[use], place[at[use]], value[use]), y, (swap_row[use_swap], place[swap_at[use_swap]], swap_value[use_swap]), s)
     # the sample holds more of one kind than there is: the bias goes back to the true shares
-    shift = np.log(positives / negatives) - np.log(max(1, n["p"]) / max(1, n["n"] - n["p"]))
-    return Model(float(w[-1] + shift), {f: float(round(c, 12)) for f, c in zip(vocab, w[:-1], strict=True) if abs(c) > 1e-9})
+    shift = np.log(positives / negatives) - np.log(max(1.0, y.sum()) / max(1.0, len(y) - y.sum()))
+    keep = np.abs(w[:-1]) > 1e-9
+    return Model(float(w[-1] + shift), slots[keep], np.round(w[:-1][keep], 12))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "toxicity") -> DataFrame:
@@ -190,10 +251,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "toxi
     at = docs.columns.index(text)
     arrow_limits(docs.sparkSession)
 
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = model.scorer()
+        of = sent.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(t) for t in texts_of(b.column(at))], pa.float64())], names=[*b.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(of(texts_of(b.column(at))), pa.float64())], names=[*b.schema.names, column])
 
     return docs.mapInArrow(run, schema_with(docs, column, "double"))
 

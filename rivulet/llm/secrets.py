@@ -5,17 +5,21 @@ names, key-like words and endpoints, are common in harmless text.  They are
 reported only where parts that complete each other lie close together in one
 scope (a block of text without an empty line): a key-like word with an account
 or an endpoint, an account with a secret, an endpoint with a secret.  The join
-of these intervals is a search by start in sorted lists, so it costs
-n log n and emits each part once, however many partners it has.
-
-Null text counts as empty and has no spans.  Each row is judged by itself:
-repeated rows give repeated results, an empty table an empty one.
+of these intervals is a search by start in lists that are sorted once, with the
+furthest end so far in the scope beside each; so it costs n log n, also in very
+long texts, and emits each part once, however many partners it has.
+
+Null text counts as empty and has no spans.  Spans of one kind never overlap;
+those of several kinds may, and are listed by start and then by kind.  Each row
+is judged by itself: repeated rows give repeated results, an empty table an
+empty one.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -59,38 +63,54 @@ def keylike(word: str) -> bool:
     return any("a" <= c <= "z" for c in word) and any("A" <= c <= "Z" for c in word) and sum("0" <= c <= "9" for c in word) >= 2
 
 
-def near(parts: list[tuple[int, int]], starts: list[int], start: int, end: int, low: int, high: int, longest: int) -> bool:
-    """Whether one of ``parts`` lies in the scope [low, high) and within REACH of [start, end)."""
-    i = bisect_left(starts, max(low, start - REACH - longest))
-    j = bisect_right(starts, min(high - 1, end + REACH))
-    return any(e >= start - REACH and e <= high and s >= low for s, e in parts[i:j])
+class Parts:
+    """Spans for the join: sorted starts, the scope of each, and the furthest end so far in it."""
+
+    def __init__(self, spans: list[tuple[int, int]], gaps: list[int]) -> None:
+        self.spans, self.gaps = sorted(spans), gaps
+        self.starts = [s for s, _ in self.spans]
+        self.ends: list[int] = []
+        scope = -1
+        for s, e in self.spans:
+            now = bisect_right(gaps, s)
+            self.ends.append(max(e, self.ends[-1]) if now == scope else e)
+            scope = now
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether a span lies in the scope of [start, end) and within REACH of it.  No span crosses a line, so none leaves its scope."""
+        scope = bisect_right(self.gaps, start)
+        last = bisect_right(self.starts, end + REACH)
+        if scope < len(self.gaps):
+            last = min(last, bisect_left(self.starts, self.gaps[scope]))
+        return last > 0 and bisect_right(self.gaps, self.starts[last - 1]) == scope and self.ends[last - 1] >= start - REACH
+
+
+def outside(matches, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(start, end) of the matches that overlap none of the sorted spans."""
+    starts, furthest = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    out = []
+    for m in matches:
+        before = bisect_left(starts, m.end())
+        if not before or furthest[before - 1] <= m.start():
+            out.append((m.start(), m.end()))
+    return out
 
 
 def weak(text: str, base: list[Span]) -> list[Span]:
     """Weak parts that complete each other, ranked after the strong kinds."""
-    taken = [(s, e) for s, _, e in base]
-    free = lambda m: not any(s < m.end() and m.start() < e for s, e in taken)
-    keys = [(m.start(), m.end()) for m in KEY.finditer(text) if keylike(m[0]) and free(m)]
-    secrets = sorted(keys + [(s, e) for s, k, e in base if k != 1])
-    if not secrets:
+    taken = sorted((s, e) for s, _, e in base)
+    keys = outside((m for m in KEY.finditer(text) if keylike(m[0])), taken)
+    if not keys and all(k == 1 for _, k, _ in base):
         return []
-    accounts = [(m.start(), m.end()) for m in ACCOUNT.finditer(text) if free(m)]
-    ends = [(m.start(), m.end()) for m in ENDPOINT.finditer(text) if free(m)]
-    if not (accounts or ends or any(k == 1 for _, k, _ in base)):
+    accounts = outside(ACCOUNT.finditer(text), taken)
+    ends = outside(ENDPOINT.finditer(text), taken)
+    access = [(s, e) for s, k, e in base if k == 1]
+    if not (accounts or ends or access):
         return []
     gaps = [m.start() for m in GAP.finditer(text)]
-    bounds = [0, *gaps, len(text)]
-
-    def linked(part: tuple[int, int], others: list[tuple[int, int]]) -> bool:
-        i = bisect_right(gaps, part[0])
-        longest = max((e - s for s, e in others), default=0)
-        return near(others, [s for s, _ in others], *part, bounds[i], bounds[i + 1] + 1, longest)
-
-    names = sorted(accounts + [(s, e) for s, k, e in base if k == 1])
-    out = [(s, 3, e) for s, e in accounts if linked((s, e), secrets)]
-    out += [(s, 4, e) for s, e in keys if linked((s, e), sorted(names + ends))]
-    out += [(s, 5, e) for s, e in ends if linked((s, e), secrets)]
-    return out
+    secrets = Parts(keys + [(s, e) for s, k, e in base if k != 1], gaps)
+    names = Parts(accounts + access + ends, gaps)
+    return [(s, k, e) for k, parts, others in ((3, accounts, secrets), (4, keys, names), (5, ends, secrets)) for s, e in parts if others.meets(s, e)]
 
 
 def find(text: str) -> list[Span]:

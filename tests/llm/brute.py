@@ -150,3 +150,21 @@ def similar_groups(rows):
         if d is not None:
             least[root(i)] = min(least.get(root(i), d), d)
     return [(d, least.get(root(i))) for i, (d, _) in enumerate(rows)]
+
+
+def weak_secrets(text, kinds):
+    """Weak parts with a partner, every pair looked at; ``kinds`` has the patterns of accounts, keys and endpoints."""
+    account, key, endpoint, like, reach = kinds
+    base = [(m.start(), m.end(), k) for k, p in enumerate(STRONG) for m in re.finditer(p, text) if len(m[2] if k == 0 else m[0]) >= (8, 16, 32)[k]]
+    free = lambda p: [(m.start(), m.end()) for m in p.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in base)]
+    keys, accounts, ends = [(s, e) for s, e in free(key) if like(text[s:e])], free(account), free(endpoint)
+    lines = [m.start() for m in re.finditer(r"\n[ \t\r]*\n", text)]
+    scope = lambda s: sum(x <= s for x in lines)
+    joins = lambda x, ys: any(scope(x[0]) == scope(y[0]) and y[0] <= x[1] + reach and y[1] >= x[0] - reach for y in ys)
+    secrets, names = keys + [(s, e) for s, e, k in base if k != 1], accounts + ends + [(s, e) for s, e, k in base if k == 1]
+    found = [(s, 3, e) for s, e in accounts if joins((s, e), secrets)]
+    found += [(s, 4, e) for s, e in keys if joins((s, e), names)]
+    return sorted(found + [(s, 5, e) for s, e in ends if joins((s, e), secrets)])
+
+
+STRONG = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+")

@@ -29,6 +29,33 @@ def test_weak_parts_need_partners():
     assert secrets.find("account: jane, see https://example.com") == []
 
 
+def test_weak_parts_against_all_pairs():
+    """Random texts of parts, blank lines and filler, with scopes and distances on both sides of the limits."""
+    import random
+
+    r = random.Random(4)
+    pieces = ["user: jane", "account = bob77", "key Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2Ji1", "https://example.com:8080", "host: db.example.net", "AKIA" + "B2" * 9, "password=abcd1234", "0f" * 20, "Qq1" * 9, "\n\n", "\n \t\n", "\n"]
+    kinds = secrets.ACCOUNT, secrets.KEY, secrets.ENDPOINT, secrets.keylike, secrets.REACH
+    found = 0
+    for _ in range(400):
+        text = " ".join(r.choice(pieces) if r.random() < 0.5 else "x" * r.choice([1, 30, 180]) for _ in range(r.randrange(1, 40)))
+        base = secrets.strong(text)
+        got = sorted(secrets.weak(text, base))
+        assert got == brute.weak_secrets(text, kinds), text
+        found += len(got)
+    assert found > 500
+
+
+def test_long_texts_of_linked_parts():
+    """A megabyte of parts that all have partners takes no more than a few seconds."""
+    import time
+
+    part = "user: jane1 host: db.example.net Zx9Yw8Vu7Ts6Rq5Po4Nm3Lk2Ji1 "
+    began = time.perf_counter()
+    assert len(secrets.find(part * (1_000_000 // len(part)))) == 3 * (1_000_000 // len(part))
+    assert time.perf_counter() - began < 5
+
+
 def test_redaction_leaves_nothing(spark, docs):
     clean = secrets.redact(docs)
     assert clean.columns == docs.columns and clean.count() == docs.count()

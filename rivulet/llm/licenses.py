@@ -9,7 +9,10 @@ that lies within one of the same or a higher rank is suppressed; sorted by
 start, one fold decides this with the furthest end of each rank, so nothing is
 compared in pairs.  All of it happens within a row: no shuffle, no hot key.
 
-Null text counts as empty: no words, no labels, score 0.
+Null text counts as empty: no words, no labels, score 0.  Texts are searched
+whole, however long.  Of matches with one interval the one of the higher rank
+stays, then the one with the longer label.  Repeated rows give repeated results,
+an empty table an empty one.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from functools import cache, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm.notices import signatures
+
 #: Characters of words and between them, in texts whose letters are small.
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]++"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -96,7 +101,7 @@ CLAUSES = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four"}
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, some hundreds, made from the families."""
+    """All rules, some hundreds: made from the families, and the hand-written signatures of license texts."""
     out = [r for label, (names, versions) in VERSIONED.items() for r in family(label, names, versions)]
     for kind, name in ATTRIBUTION.items():
         short = kind.replace("-", r"[\s-]")
@@ -105,6 +110,7 @@ def rules() -> tuple[Rule, ...]:
     for n, word in CLAUSES.items():
         out += family(f"bsd-{n}-clause", {"bsd": rf"bsd[\s-](?:{n}|{word})[\s-]clause|(?:{n}|{word})[\s-]clause\sbsd"})
     out += [Rule("bsd", LOOSE, "bsd", r"\bbsd(?:[\s-]style)?\slicense")]
+    out += [Rule(label, NAMED, keyword, pattern) for label, keyword, pattern in signatures()]
     return tuple(out + [r for label, names in SINGLE.items() for r in family(label, names)])
 
 
@@ -163,13 +169,13 @@ def kept(hits: Column) -> Column:
     return F.aggregate(F.array_sort(F.transform(hits, order)), begin, add, lambda acc: acc["kept"])
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, signatures: tuple[Rule, ...] | None = None) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, own: tuple[Rule, ...] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, detections, labels and score of every text.
 
     detections has rank and label of the signature rules that held; labels adds
     them to the base labels.  score is how sure the surest of all is.
     """
-    own = rules() if signatures is None else signatures
+    own = rules() if own is None else own
     groups: dict[tuple[str, str], list[Rule]] = {}
     for r in own:
         groups.setdefault((r.keyword, r.head), []).append(r)

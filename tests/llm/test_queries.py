@@ -103,6 +103,57 @@ def test_license_rules_without_other_license_words(spark):
     assert {r["doc_id"]: (r["labels"], r["score"]) for r in found} == {t: ([label], 0.9) for t, label in alone.items()}
 
 
+def example(pattern):
+    """A text that a pattern matches: first branches, least repeats."""
+    from re import _parser
+
+    def write(parsed):
+        out = ""
+        for op, arg in parsed:
+            op = str(op)
+            if op == "LITERAL":
+                out += chr(arg)
+            elif op == "IN":
+                kind, value = arg[0]
+                out += {"CATEGORY_SPACE": " ", "CATEGORY_NOT_WORD": " ", "CATEGORY_DIGIT": "1"}[str(value)] if str(kind) == "CATEGORY" else chr(value if str(kind) == "LITERAL" else value[0])
+            elif op == "BRANCH":
+                out += write(arg[1][0])
+            elif op == "SUBPATTERN":
+                out += write(arg[-1])
+            elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+                out += write(arg[2]) * arg[0]
+            elif op == "ANY":
+                out += "."
+            elif op not in ("AT", "ASSERT_NOT"):
+                raise ValueError(op)
+        return out
+
+    return write(_parser.parse(pattern))
+
+
+def test_prefilter_loses_no_rule(spark):
+    """An example of every rule, searched with the keywords and heads and without them."""
+    from dataclasses import replace
+
+    rules = licenses.rules()
+    texts = [f"x. {example(r.pattern)} y" for r in rules]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(8).cache()
+    gated = {r["doc_id"]: r["detections"] for r in licenses.scan(docs).collect()}
+    free = {r["doc_id"]: r["detections"] for r in licenses.scan(docs, own=tuple(replace(r, keyword="", head="") for r in rules)).collect()}
+    for i, r in enumerate(rules):
+        assert gated[i] and gated[i] == free[i], r
+        assert any(d["label"] == r.label or d["rank"] < r.rank or r.label in d["label"] or d["rank"] == r.rank for d in gated[i]), r
+
+
+def test_notices(spark):
+    """License texts without their license's name, wrapped as in the comments of a program."""
+    from rivulet.llm.notices import NOTICES
+
+    rows = [(f"{label}|{i}", "/* " + phrase.lower().replace(" the ", "\n * the ") + " */") for label, phrases in NOTICES.items() for i, phrase in enumerate(phrases)]
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string").repartition(8)).collect()}
+    assert {k for k, labels in found.items() if k.split("|")[0] not in labels} == set()
+
+
 def test_token_file(spark, small_dir, rows, paths):
     lib = Tokenizer.from_file(paths["word_bpe_49k.json"])
     first = {}

@@ -10,18 +10,26 @@ a bounded number of words at a time.  In a block, a window takes the positions
 of its rarest word, moves them back by the word's offset, and intersects them
 with the moved lists of its other words, from rare to frequent, by binary
 search.  Windows with an absent word end at once.  With a slop, each word may
-stand that many places away from its own: proximity matches.
+stand that many places away from its own, each at a place of its own: proximity
+matches.
+
+Long items are cut into pieces that overlap by a window less one word, and the
+pieces are dealt to query blocks of a bounded number of words.  One pass over
+the texts takes along up to PASS_BLOCKS of them, so what a worker holds has a
+bound; only a larger benchmark needs further passes.
 
 Null and empty texts have no words; items without words, or without an id, have
 no windows.  Repeated items count once for each id, repeated documents each.
-Positions of one document never touch the next one's.
+Positions of one document never touch the next one's.  Very long texts make
+long posting lists, which a reader takes one block at a time; an empty table
+gives an empty result, an empty benchmark one without matches.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +44,8 @@ from rivulet.llm.common import arrow_limits, spool, texts_of
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of benchmark items that one search takes along.
 QUERY_WORDS = 500_000
+#: Words of a piece of an item, and blocks of items that one pass takes along.
+PIECE_WORDS, PASS_BLOCKS = 50_000, 4
 #: Documents of a block of the index.
 BLOCK_ROWS = 400
 #: Words that a worker remembers the hash of.
@@ -108,6 +118,7 @@ class Windows:
         self.grid = np.full((len(of), length), -1, dtype=np.int64)
         for i, w in enumerate(of):
             self.grid[i, : len(w)] = np.searchsorted(self.terms, w)
+        self.repeats = np.array([len(set(w)) < len(w) for w in of], dtype=bool)
 
 
 def intersect(q: Windows, terms: np.ndarray, ends: np.ndarray, places: np.ndarray, size: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +151,26 @@ def intersect(q: Windows, terms: np.ndarray, ends: np.ndarray, places: np.ndarra
         at = np.searchsorted(key, low)
         ok = (cell < 0) | ((at < len(key)) & (key[np.minimum(at, len(key) - 1)] <= low + 2 * slop))
         window, start = window[ok], start[ok]
-    return live[window], start
+    window = live[window]
+    if slop and len(window):
+        ok = np.ones(len(window), dtype=bool)
+        for i in np.flatnonzero(q.repeats[window]):
+            ok[i] = apart(q.grid[window[i]], rank, key, size, int(start[i]), slop)
+        window, start = window[ok], start[ok]
+    return window, start
+
+
+def apart(cells: np.ndarray, rank: np.ndarray, key: np.ndarray, size: int, start: int, slop: int) -> bool:
+    """Whether words that a window has several times can each have a place of its own; the first free one is the best."""
+    free: dict[int, int] = {}
+    for offset, cell in enumerate(cells.tolist()):
+        if cell >= 0:
+            home = int(rank[cell]) * size + start + offset
+            at = int(np.searchsorted(key, max(home - slop, free.get(cell, 0))))
+            if at >= len(key) or key[at] > home + slop:
+                return False
+            free[cell] = int(key[at]) + 1
+    return True
 
 
 def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
@@ -154,59 +184,76 @@ def spans_of(starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
     return out
 
 
-MATCHES = "block string, place int, id string, n_words int, spans array<array<int>>, items array<string>, near array<string>"
+MATCHES = "block string, place int, id string, n_words int, spans array<array<int>>, items array<string>, near array<string>, near_spans array<array<int>>"
 
 
-def look(batches: Iterator[pa.RecordBatch], q: Windows, slop: int) -> Iterator[pa.RecordBatch]:
+def look(batches: Iterator[pa.RecordBatch], queries: list[Windows], slop: int) -> Iterator[pa.RecordBatch]:
     """Matches of each document of each block; documents without any as well."""
-    schema = pa.schema([("block", pa.string()), ("place", pa.int32()), ("id", pa.string()), ("n_words", pa.int32()), ("spans", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string())), ("near", pa.list_(pa.string()))])
+    pairs, names = pa.list_(pa.list_(pa.int32())), pa.list_(pa.string())
+    schema = pa.schema([("block", pa.string()), ("place", pa.int32()), ("id", pa.string()), ("n_words", pa.int32()), ("spans", pairs), ("items", names), ("near", names), ("near_spans", pairs)])
     for b in batches:
         for row in b.to_pylist():
             arrays = np.frombuffer(row["terms"], "<i8"), np.frombuffer(row["ends"], "<u4").astype(np.int64), np.frombuffer(row["places"], "<u4").astype(np.int64)
             starts = np.array(row["starts"], dtype=np.int64)
             n = len(starts)
-            spans, items, close = ([[] for _ in range(n)] for _ in range(3))
-            for slack, into in ((0, items), (slop, close))[: 2 if slop else 1]:
-                window, start = intersect(q, *arrays, row["size"], slack)
-                doc = np.searchsorted(starts, start + (slack > 0) * PAD // 2, side="right") - 1
-                for d in np.unique(doc).tolist():
-                    own = doc == d
-                    into[d] = sorted({x for w in np.unique(window[own]).tolist() for x in q.items[w]})
-                    if not slack:
-                        spans[d] = spans_of(start[own] - starts[d], (start + q.lengths[window])[own] - starts[d])
-            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * n), pa.array(range(n), pa.int32()), pa.array(row["ids"], pa.string()), pa.array(row["n_words"], pa.int32()), pa.array(spans, schema.field("spans").type), pa.array(items, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string()))], schema=schema)
-
-
-def query_blocks(items: DataFrame, query_words: int, item_id: str = "item_id", text: str = "text") -> tuple[int, DataFrame]:
-    """How many blocks of about ``query_words`` words the items make, and the items."""
+            spans, items, close, near_spans = ([[] for _ in range(n)] for _ in range(4))
+            for slack, into, where in ((0, items, spans), (slop, close, near_spans))[: 2 if slop else 1]:
+                for q in queries:
+                    window, start = intersect(q, *arrays, row["size"], slack)
+                    doc = np.searchsorted(starts, start + (slack > 0) * PAD // 2, side="right") - 1
+                    for d in np.unique(doc).tolist():
+                        own = doc == d
+                        into[d] = sorted({*into[d], *(x for w in np.unique(window[own]).tolist() for x in q.items[w])})
+                        begin = start[own] - starts[d]
+                        found = spans_of(np.maximum(begin, 0), np.minimum(begin + q.lengths[window[own]], row["n_words"][d]))
+                        where[d] = found if not where[d] else spans_of(*np.array(where[d] + found).T)
+            columns = [pa.array([row["block"]] * n), pa.array(range(n), pa.int32()), pa.array(row["ids"], pa.string()), pa.array(row["n_words"], pa.int32()), pa.array(spans, pairs), pa.array(items, names), pa.array(close, names), pa.array(near_spans, pairs)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def pieces(items: DataFrame, length: int, item_id: str = "item_id", text: str = "text", words: int = PIECE_WORDS) -> DataFrame:
+    """(item, text, n) of the items; long ones in pieces that overlap by a window less one word, so each window is in one."""
     rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null")
-    total = rows.select(F.coalesce(F.sum(F.length("text") / 4), F.lit(0))).first()[0]
-    return max(1, -(-int(total) // query_words)), rows
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words_of(t)
+                for i in range(0, max(1, len(w) - length + 1) if w else 0, words):
+                    part = w[i : i + words + length - 1]
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([item], pa.string()), "text": pa.array([b" ".join(part).decode()], pa.string()), "n": pa.array([len(part)], pa.int64())})
+
+    arrow_limits(items.sparkSession)
+    return spool(rows.mapInArrow(cut, "item string, text string, n bigint"), "items")
 
-def block_of(rows: DataFrame, k: int, blocks: int) -> list[tuple[str, str | None]]:
-    """The items of one block."""
-    return [(r["item"], r["text"]) for r in rows.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
+
+def passes(items: DataFrame, length: int, query_words: int, item_id: str = "item_id", text: str = "text") -> Iterator[list]:
+    """Windows of the items, broadcast: for each pass the blocks of about ``query_words`` words that it takes along; at least one pass."""
+    rows = pieces(items, length, item_id, text)
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(total) // query_words))
+    for first in range(0, blocks, PASS_BLOCKS):
+        found = []
+        for k in range(first, min(blocks, first + PASS_BLOCKS)):
+            block = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).select("item", "text").collect()
+            found.append(items.sparkSession.sparkContext.broadcast(Windows([tuple(r) for r in block], length)))
+        yield found
 
 
 def search(index: DataFrame, items: DataFrame, length: int = 8, slop: int = 1, item_id: str = "item_id", text: str = "text", query_words: int = QUERY_WORDS) -> DataFrame:
-    """Matches of every indexed document: id, n_words, spans, items (exact) and near (within the slop).
+    """Matches of every indexed document: id, n_words, spans and items (exact), near and near_spans (within the slop).
 
-    The items go along in blocks of about ``query_words`` words; for more than
-    one block, what the passes find in a document is put together.
+    ``near_spans`` are the places, in words, where near windows have their
+    homes, merged.  What several passes find in a document is put together.
     """
-    spark = index.sparkSession
-    blocks, rows = query_blocks(items, query_words, item_id, text)
-    arrow_limits(spark, 16)
-    found = None
-    for k in range(blocks):
-        q = spark.sparkContext.broadcast(Windows(block_of(rows, k, blocks), length))
-        one = index.mapInArrow(partial(lambda it, q: look(it, q.value, slop), q=q), MATCHES)
-        found = one if found is None else found.unionByName(one)
-    if blocks == 1:
-        return found.drop("block", "place")
+    arrow_limits(index.sparkSession, 16)
+    found = [index.mapInArrow(partial(lambda it, qs: look(it, [q.value for q in qs], slop), qs=qs), MATCHES) for qs in passes(items, length, query_words, item_id, text)]
+    arrow_limits(index.sparkSession, 16)
+    if len(found) == 1:
+        return found[0].drop("block", "place")
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    return found.groupBy("block", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), flat("spans"), flat("items"), flat("near")).drop("block", "place")
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy("block", "place").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), *map(flat, ("spans", "items", "near", "near_spans"))).drop("block", "place")
 
 
 def covered(spans: str = "spans"):
@@ -219,11 +266,14 @@ def covered(spans: str = "spans"):
 
 
 def contamination(docs: DataFrame, items: DataFrame, length: int = 8, slop: int = 1, min_items: int = 2, **names: str) -> DataFrame:
-    """doc_id (as a string), n_words, n_hit, items, near and contaminated for every document."""
+    """doc_id (as a string), n_words, n_hit, items, near, near_hit and contaminated for every document.
+
+    near_hit is how many words lie in the places of near windows.
+    """
     found = search(build_index(docs, **names), items, length, slop)
     return found.select(
         F.col("id").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), covered().cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort(F.array_distinct("near")).alias("near"),
+        F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort(F.array_distinct("near")).alias("near"), covered("near_spans").cast("long").alias("near_hit"),
         (F.size(F.array_distinct("items")) >= min_items).alias("contaminated"),
     )
 
@@ -231,25 +281,22 @@ def contamination(docs: DataFrame, items: DataFrame, length: int = 8, slop: int
 def mark(docs: DataFrame, items: DataFrame, column: str, length: int = 8, text: str = "text", query_words: int = QUERY_WORDS) -> DataFrame:
     """``docs`` with a column: the items with a window that occurs in the text.
 
-    The postings of each batch of rows are searched as they are made, so rows
-    keep all their columns and need not be joined back.
+    The postings of each batch of rows are searched as they are made and not
+    stored, so rows keep all their columns and need not be joined back.  Further
+    passes start from what the one before has written.
     """
     at = docs.columns.index(text)
-    spark = docs.sparkSession
-    blocks, rows = query_blocks(items, query_words)
-    out = docs.withColumn(column, F.array().cast("array<string>"))
-    arrow_limits(spark, BLOCK_ROWS)
-    for k in range(blocks):
-        q = spark.sparkContext.broadcast(Windows(block_of(rows, k, blocks), length))
-
-        def run(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            known = Hashes()
+    out, last = docs.withColumn(column, F.array().cast("array<string>")), len(docs.columns)
+    for k, qs in enumerate(passes(items, length, query_words)):
+        arrow_limits(docs.sparkSession, BLOCK_ROWS)
+
+        def run(batches: Iterator[pa.RecordBatch], qs=qs) -> Iterator[pa.RecordBatch]:
+            known, queries = Hashes(), [q.value for q in qs]
             for b in batches:
-                ids = pa.nulls(b.num_rows, pa.string())
-                rows = pa.RecordBatch.from_arrays([ids, b.column(at).cast(pa.string())], names=["id", "text"])
-                for found in look(post(iter([rows]), known), q.value, 0):
-                    both = [x + y for x, y in zip(b.column(b.num_columns - 1).to_pylist(), found.column("items").to_pylist(), strict=True)]
-                    yield b.set_column(b.num_columns - 1, b.schema.field(b.num_columns - 1), pa.array(both, pa.list_(pa.string())))
+                rows = pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.string()), b.column(at).cast(pa.string())], names=["id", "text"])
+                for found in look(post(iter([rows]), known), queries, 0):
+                    both = [sorted({*x, *y}) for x, y in zip(b.column(last).to_pylist(), found.column("items").to_pylist(), strict=True)]
+                    yield b.set_column(last, b.schema.field(last), pa.array(both, pa.list_(pa.string())))
 
-        out = out.mapInArrow(run, out.schema)
+        out = (spool(out, "marked") if k else out).mapInArrow(run, out.schema)
     return out

@@ -168,3 +168,24 @@ def weak_secrets(text, kinds):
 
 
 STRONG = (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "AKIA[A-Z0-9]+", "[0-9a-f]+")
+
+
+def near(text, items, length, slop):
+    """(items, words in their places) of near windows: every start, and every way to give the words places of their own."""
+    w, found, hit = words3(text), set(), set()
+
+    def fits(win, start, at=0, used=frozenset()):
+        if at == len(win):
+            return True
+        places = range(max(0, start + at - slop), min(len(w), start + at + slop + 1))
+        return any(w[p] == win[at] and p not in used and fits(win, start, at + 1, used | {p}) for p in places)
+
+    for item, t in items:
+        x = words3(t)
+        for i in range(max(1, len(x) - length + 1) if x else 0):
+            win = x[i : i + length]
+            for j in range(-slop, len(w) + slop):
+                if fits(win, j):
+                    found.add(str(item))
+                    hit.update(range(max(0, j), min(len(w), j + len(win))))
+    return sorted(found), len(hit)

@@ -81,6 +81,32 @@ def test_proximity_and_marks(spark, docs):
     assert marked[108] == ["9"] and marked[100] == []
 
 
+def test_near_places_against_every_way(spark):
+    """Random texts over few words, so that windows repeat words; one word has one place."""
+    import random
+
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice("abcd") for _ in range(n))
+    rows = [(i, say(r.randrange(0, 9))) for i in range(150)] + [(900, "one two three"), (901, None)]
+    items = [(i, say(r.randrange(1, 6))) for i in range(12)] + [(77, "two two three")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    found = contamination.contamination(docs, spark.createDataFrame(items, "item_id int, text string"), length=3, slop=1).collect()
+    assert {int(f["doc_id"]): (f["near"], f["near_hit"]) for f in found} == {i: brute.near(t, items, 3, 1) for i, t in rows}
+
+
+def test_long_items_in_pieces(spark, docs):
+    """Pieces hold all windows, each once."""
+    import random
+
+    r = random.Random(1)
+    text = " ".join(f"w{r.randrange(50)}" for _ in range(101))
+    items = spark.createDataFrame([(1, text), (2, "short one"), (3, None)], "item_id int, text string")
+    cut = contamination.pieces(items, 8, words=10).collect()
+    windows = lambda t: [tuple(t.split()[i : i + 8]) for i in range(max(1, len(t.split()) - 7))]
+    assert Counter(w for c in cut if c["item"] == "1" for w in windows(c["text"])) == Counter(windows(text))
+    assert [c["text"] for c in cut if c["item"] == "2"] == ["short one"] and not [c for c in cut if c["item"] == "3"]
+
+
 def test_licenses(spark, small_dir, rows):
     assert got(spark, small_dir, "op4_licenses", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == Counter((i, *brute.licenses(t)) for i, t in rows)
 

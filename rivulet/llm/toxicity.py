@@ -47,8 +47,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
 class Settings:
     """Bounds of the sample, and the penalties."""
 
-    positives: int = 4_000
-    negatives: int = 8_000
+    positives: int = 3_000
+    negatives: int = 5_000
     least_documents: int = 3
     weight_penalty: float = 0.01
     swap_penalty: float = 4.0
@@ -56,7 +56,7 @@ class Settings:
 
 
 #: Lengths, in bytes, of beginnings of words.
-BEGINNINGS = (4, 5, 6, 7, 8)
+BEGINNINGS = (4, 6)
 #: Slots of features, a power of two.
 SLOTS = 1 << 22
 #: A feature counts fully from once in so many words on; texts count as of so many words at least.
@@ -206,16 +206,16 @@ def examples(rows: DataFrame, s: Settings) -> DataFrame:
                 key, change = key[np.abs(change) > 1e-12], change[np.abs(change) > 1e-12]
                 text, feature, value = key // SLOTS, key % SLOTS, change
             ends = np.searchsorted(text, np.arange(n + 1))
-            columns += [list_array(feature.astype(np.int32), ends, pa.int32()), list_array(value, ends, pa.float64())]
+            columns += [list_array(feature.astype(np.int32), ends, pa.int32()), list_array(value.astype(np.float32), ends, pa.float32())]
         return pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *columns], names=["toxic", "at", "value", "swap_at", "swap_value"])
 
-    return map_batches(rows, look, "toxic bigint, at array<int>, value array<double>, swap_at array<int>, swap_value array<double>")
+    return map_batches(rows, look, "toxic bigint, at array<int>, value array<float>, swap_at array<int>, swap_value array<float>")
 
 
 def flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The row of each value of a list column, and the values."""
     whole = column.combine_chunks()
-    return np.repeat(np.arange(len(whole)), np.diff(whole.offsets.to_numpy())), whole.flatten().to_numpy()
+    return np.repeat(np.arange(len(whole)), np.diff(whole.offsets.to_numpy())), whole.flatten().to_numpy(zero_copy_only=False)
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
@@ -235,10 +235,16 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     often = np.bincount(at, minlength=SLOTS)
     names = [x for group in s.terms for t in group for x in features_of(t.encode())]
     slots = np.union1d(np.flatnonzero(often >= s.least_documents), np.array(names, dtype=np.int64))
-    place = np.full(SLOTS, -1, dtype=np.int64)
-    place[slots] = np.arange(len(slots))
-    use, use_swap = place[at] >= 0, place[swap_at] >= 0
-    w = fit(len(slots), (row[use], place[at[use]], value[use]), y, (swap_row[use_swap], place[swap_at[use_swap]], swap_value[use_swap]), s)
+    place = np.full(SLOTS, -1, dtype=np.int32)
+    place[slots] = np.arange(len(slots), dtype=np.int32)
+
+    def known(row: np.ndarray, at: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        use = place[at] >= 0
+        return row[use], place[at[use]].astype(np.int64), value[use].astype(float)
+
+    x, change = known(row, at, value), known(swap_row, swap_at, swap_value)
+    del got, row, at, value, swap_row, swap_at, swap_value, often, place
+    w = fit(len(slots), x, y, change, s)
     # the sample holds more of one kind than there is: the bias goes back to the true shares
     shift = np.log(positives / negatives) - np.log(max(1.0, y.sum()) / max(1.0, len(y) - y.sum()))
     keep = np.abs(w[:-1]) > 1e-9

@@ -242,6 +242,9 @@ class Engine:
         why = "all of it is marked" if "all" in kinds or ALL in tokens else ""
         if not why and big and len(tokens) > policy.full_refresh_ratio * max(1, len(before)):
             why = f"{len(tokens)} of {len(before)} partitions are marked"
+        other = bind(self.spark, m.sql, {d: self.frame(d) for d in m.deps}).schema.simpleString() != self.store.schema(name).simpleString()
+        if other and not why:
+            why = "its columns have changed"
         parts, keys = before, {}
         if not why:
             for parent in sorted({e["parent"] for e in entries if e["kind"] in ("keys", "joinkeys")}):
@@ -276,7 +279,14 @@ class Engine:
         changed = differing(before, parts) if policy.cutoff else {*before, *parts} if why else differing(before, parts) | tokens
         since, cols = min(e["since"] for e in entries), None if any(e["cols"] is None for e in entries) or why else sorted({c for e in entries for c in e["cols"]})
         self.store.state["dirty"] = [e for e in self.dirty if e not in entries]
-        self.propagate(name, {t: before[t]["version"] if t in before else None for t in changed}, since, cols, report)
+        if other:
+            # rows before and now do not compare: readers are recomputed whole, and so see the columns
+            report.propagated[name] = sorted(changed)
+            for c in self.dag.children(name):
+                if self.store.has(c):
+                    self.mark(c, "all", since)
+        else:
+            self.propagate(name, {t: before[t]["version"] if t in before else None for t in changed}, since, cols, report)
         self.store.commit()
         for _, k, _ in keys.values():
             k.unpersist()

@@ -102,22 +102,27 @@ def diff_keys(before: DataFrame, now: DataFrame, cfg: FingerprintConfig) -> Data
 
 
 def audit_columns(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
-    """Time columns that behave as audit columns do: column, confidence (high or low).
+    """Time columns that look like audit columns: column, confidence (high or low).
 
-    Among rows with the same key, a column is a candidate if it moved forward in
-    every row whose other content changed; high if it also stayed in all rows
-    that didn't change.
+    High: the column changed on every row while all other columns stayed.  Low:
+    it has one value in all rows of both tables.  Nulls speak against both, and
+    there is no answer unless both tables have the same two keys or more.
     """
-    times = [f.name for f in now.schema if f.dataType.typeName() in ("timestamp", "timestamp_ntz")]
-    rest = [c for c in now.columns if c not in keys and c not in times]
-    a, b = before.alias("a"), now.alias("b")
-    both = a.join(b, reduce(Column.__and__, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]))
-    changed = reduce(Column.__or__, [~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in rest], F.lit(False))
-    picked = [F.bool_and(F.when(changed, F.coalesce(F.col(f"b.{t}") > F.col(f"a.{t}"), F.lit(False))).otherwise(F.lit(True))).alias(f"m_{t}") for t in times]
-    picked += [F.bool_and(F.when(~changed, F.col(f"b.{t}").eqNullSafe(F.col(f"a.{t}"))).otherwise(F.lit(True))).alias(f"s_{t}") for t in times]
-    one = both.agg(F.bool_or(changed).alias("any"), *picked)
-    rows = F.array(*(F.struct(F.lit(t).alias("column"), F.when(F.col(f"m_{t}") & F.col(f"s_{t}"), "high").when(F.col(f"m_{t}"), "low").alias("confidence")) for t in times))
-    return one.where("any").select(F.explode(rows).alias("r")).select("r.*").where("confidence is not null")
+    times = [f.name for f in now.schema if f.dataType.typeName() in ("timestamp", "timestamp_ntz") and f.name not in keys]
+    content = [c for c in now.columns if c not in keys]
+    both = before.alias("a").join(now.alias("b"), reduce(Column.__and__, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]), "full")
+    there = reduce(Column.__or__, [F.col(f"a.{c}").isNotNull() for c in before.columns]) & reduce(Column.__or__, [F.col(f"b.{c}").isNotNull() for c in now.columns])
+    stays = {c: F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in content}
+    sums = [F.count("*").alias("rows"), F.bool_and(there).alias("matched")]
+    for t in times:
+        a, b = F.col(f"a.{t}"), F.col(f"b.{t}")
+        rest = reduce(Column.__and__, [s for c, s in stays.items() if c != t], F.lit(True))
+        sums += [F.bool_and(F.coalesce(a != b, F.lit(False)) & rest).alias(f"high_{t}"), F.bool_and(F.coalesce(a == b, F.lit(False))).alias(f"still_{t}"), (F.min(a) == F.max(b)).alias(f"one_{t}")]
+        sums += [(F.max(a) == F.min(b)).alias(f"flat_{t}")]
+    one = both.agg(*sums).where("rows >= 2 and matched")
+    low = lambda t: F.col(f"still_{t}") & F.col(f"one_{t}") & F.col(f"flat_{t}")
+    rows = F.array(*(F.struct(F.lit(t).alias("column"), F.when(F.col(f"high_{t}"), "high").when(low(t), "low").alias("confidence")) for t in times))
+    return one.select(F.explode(rows).alias("r")).select("r.*").where("confidence is not null")
 
 
 def apply_audit_policy(runs: list[dict[str, str]], auto_apply: bool = False) -> list[str]:
@@ -141,12 +146,17 @@ def queries() -> dict:
         return both.selectExpr("n1 as rows_before", "n2 as rows_now", "h1 <> h2 or n1 <> n2 as changed")
 
     def audited(s, d):
-        now = read(s, d, "orders").selectExpr("o_orderkey", "o_totalprice", "o_orderdate as updated", "o_orderdate as other")
-        before = now.selectExpr("o_orderkey", "if(o_orderkey % 5 = 0, o_totalprice + 1, o_totalprice) as o_totalprice", "if(o_orderkey % 5 = 0, updated - interval 1 day, updated) as updated", "other - interval 1 day as other")
-        return audit_columns(before, now, ["o_orderkey"])
+        now = read(s, d, "orders").selectExpr("o_orderkey", "o_totalprice", "o_orderdate as updated", "timestamp'2024-01-01' as loaded", "o_orderdate as placed")
+        return audit_columns(now.withColumn("updated", F.expr("updated - interval 1 day")), now, ["o_orderkey"])
+
+    audit_sql = """with n as (select o_orderkey as k, o_orderdate as updated, timestamp '2024-01-01' as loaded, o_orderdate as placed from orders),
+ b as (select k, updated - interval 1 day as updated, loaded, placed from n), j as (select n.*, b.updated as u, b.loaded as l, b.placed as p from n join b using (k))
+ select * from (select 'updated' as "column", case when bool_and(updated <> u and loaded = l and placed = p) then 'high' when min(u) = max(updated) and max(u) = min(updated) then 'low' end as confidence from j
+ union all select 'loaded', case when bool_and(loaded <> l and updated = u and placed = p) then 'high' when min(l) = max(loaded) and max(l) = min(loaded) then 'low' end from j
+ union all select 'placed', case when bool_and(placed <> p and updated = u and loaded = l) then 'high' when min(p) = max(placed) and max(p) = min(placed) then 'low' end from j) where confidence is not null"""
 
     return {
         "fingerprint_diff_keys": (lambda s, d: diff_keys(other(read(s, d)), read(s, d), cfg), sql),
         "fingerprint_decide": (decided, "select count(*) as rows_before, count(*) filter (where c_custkey % 11 <> 0) as rows_now, true as changed from customer"),
-        "audit_candidates": (audited, "select * from (values ('updated', 'high'), ('other', 'low')) as t(\"column\", confidence)"),
+        "audit_candidates": (audited, audit_sql),
     }

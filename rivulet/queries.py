@@ -158,6 +158,9 @@ add_incremental("inc_column_relevance_noop", CHEAP, [EVENTS], {"events": one_day
 add_incremental("inc_column_relevance_derived", DAILY, [EVENTS], {"events": one_day_altered}, "day", columns=["value"])
 add("inc_multi_hop_dag", incremental([ORDERS, CUSTOMER, model("stg", STG, MONTH), model("fact", FACT, MONTH), model("mart", MART, "month")], {"orders": late_orders, "customer": other_segment}, "mart"), plain(MART, fact=FACT.replace("{stg}", f"({STG})")))
 
+ROWS_OF_DAYS = "select * from {events}"
+add("inc_schema_added_star", incremental([EVENTS, model("copied", ROWS_OF_DAYS, "date(ts)"), model("again", "select * from {copied}", "date(ts)")], {"events": lambda df: df.drop("value")}, "again"), plain(ROWS_OF_DAYS))
+
 STAR_FROM = """from {lineitem} as l join {orders} as o on l.l_orderkey = o.o_orderkey join {customer} as c on o.o_custkey = c.c_custkey
  join {nation} as cn on c.c_nationkey = cn.n_nationkey join {region} as cr on cn.n_regionkey = cr.r_regionkey
  join {supplier} as s on l.l_suppkey = s.s_suppkey join {nation} as sn on s.s_nationkey = sn.n_nationkey join {region} as sr on sn.n_regionkey = sr.r_regionkey

@@ -95,21 +95,35 @@ class ParquetMetadataReader:
 @dataclass(frozen=True)
 class Settings:
     project: str
-    location: str
-    poll_interval_seconds: int
+    location: str = "US"
+    poll_interval_seconds: int = 300
     mode: str = "observe"
 
 
+#: Sections of a settings file, their entries, and what each must be.
+ENTRIES = {
+    "orchestrator": {"mode": (lambda x: x == "observe", "only 'observe' is supported"), "poll_interval_seconds": (lambda x: type(x) is int and x > 0, "must be a positive integer")},
+    "bigquery": {"project": (lambda x: isinstance(x, str) and x.strip(), "must be a nonempty string"), "location": (lambda x: isinstance(x, str) and x.strip(), "must be a nonempty string")},
+}
+
+
 def load_settings(path: str | Path) -> Settings:
-    """Settings from a TOML file; only the mode ``observe`` exists."""
+    """Settings from a TOML file; a project must be given, all else has a default."""
     doc = tomllib.loads(Path(path).read_text(encoding="utf-8"))
-    extra = set(doc) - {"project", "location", "poll_interval_seconds", "mode"}
-    if extra:
-        raise ValueError(f"unknown settings: {sorted(extra)}")
-    s = Settings(**doc)
-    if s.mode != "observe" or not isinstance(s.poll_interval_seconds, int) or s.poll_interval_seconds <= 0 or not s.project or not s.location:
-        raise ValueError("settings out of range")
-    return s
+    if extra := sorted(doc.keys() - ENTRIES.keys()):
+        raise ValueError(f"Unknown configuration sections: {', '.join(extra)}")
+    found = {"project": None}
+    for section, entries in ENTRIES.items():
+        given = doc.get(section, {})
+        if not isinstance(given, dict):
+            raise ValueError(f"{section} must be a TOML table")
+        if extra := sorted(given.keys() - entries.keys()):
+            raise ValueError(f"Unknown {section} settings: {', '.join(extra)}")
+        found |= given
+        for entry, (good, rule) in entries.items():
+            if entry in found and not good(found[entry]):
+                raise ValueError(f"{section}.{entry} {rule}")
+    return Settings(**{k: v.strip() if isinstance(v, str) else v for k, v in found.items()})
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = "|", dates: dict[str, str] | None = None) -> DataFrame:

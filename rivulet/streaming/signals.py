@@ -16,13 +16,18 @@ def signal_stream(arrivals: DataFrame, engine: Engine, source: str, checkpoint:
     """Appends what has arrived to a source, then signals its partitions; stops when all is read.
 
     A batch that is delivered again after a failure is loaded once: rows of the
-    source's unique key that are there already are replaced.
+    source's unique key that are there already are replaced, in whatever
+    partition they are.
     """
     m = engine.dag.models[source]
 
     def batch(df: DataFrame, number: int) -> None:
         df = df.persist()
         tokens = engine.targets(df, m.partition_expr) if m.partition_expr else None
+        if m.unique_key and tokens is not None:
+            # versions of the arrived keys that lie in other partitions go as well
+            old = engine.store.read(source)
+            tokens |= engine.targets(old.join(df.select(m.unique_key).distinct(), m.unique_key, "left_semi"), m.partition_expr)
         there = engine.store.read(source, tokens=tokens)
         if m.unique_key:
             there = there.join(df.select(m.unique_key), m.unique_key, "left_anti").select(*there.columns)

@@ -118,9 +118,9 @@ def test_state_and_metadata(spark, tmp_path):
     assert snap.num_rows == 5 and tables.TableSnapshot.from_dict(snap.to_dict()) == snap
     with pytest.raises(tables.TableNotFoundError):
         tables.FakeMetadataReader().get_snapshot(ref)
-    (tmp_path / "c.toml").write_text('project = "p"\nlocation = "x"\npoll_interval_seconds = 5\nmode = "observe"\n')
+    (tmp_path / "c.toml").write_text('[orchestrator]\nmode = "observe"\npoll_interval_seconds = 5\n[bigquery]\nproject = "p"\nlocation = "x"\n')
     assert cli.main(["check-config", str(tmp_path / "c.toml")]) == 0
-    (tmp_path / "c.toml").write_text('project = "p"\nlocation = "x"\npoll_interval_seconds = 5\nmode = "act"\n')
+    (tmp_path / "c.toml").write_text('[orchestrator]\nmode = "act"\n[bigquery]\nproject = "p"\n')
     assert cli.main(["check-config", str(tmp_path / "c.toml")]) == 2
 
 

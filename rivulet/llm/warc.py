@@ -27,6 +27,9 @@ UPDATES = ("cache-control", "content-location", "date", "etag", "expires", "last
 #: Parameters that track visits and do not change what is served.
 TRACKING = r"(?:utm_[a-z]+|ref|gclid|fbclid|sessionid)"
 
+#: The time that captures without one are given: before all others.
+FIRST = -(1 << 62)
+
 
 def canonical(url: Column) -> Column:
     """Scheme and host small, without default port, fragment, tracking parameters and the last slash."""
@@ -64,8 +67,8 @@ def resolve(captures: DataFrame, span: int = 1 << 12) -> DataFrame:
     without an earlier response.  Only matched and unchecked revisits get the
     payload and merged headers; the others keep their own headers.
     """
-    rows = captures.select("id", F.col("at").cast("long").alias("at"), "kind", "headers", "payload", canonical(F.col("url")).alias("uri"))
-    keyed = rows.where("uri is not null and at is not null").select("id", "at", "kind", "uri", F.floor(F.col("at") / span).alias("span"))
+    rows = captures.select("id", F.coalesce(F.col("at").cast("long"), F.lit(FIRST)).alias("at"), "kind", "headers", "payload", canonical(F.col("url")).alias("uri"))
+    keyed = rows.where("uri is not null").select("id", "at", "kind", "uri", F.floor(F.col("at") / span).alias("span"))
     full = F.when(F.col("kind") == "response", F.struct("at", "id"))
     cells = keyed.groupBy("uri", "span").agg(F.max(full).alias("last"))
     before = Window.partitionBy("uri").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)

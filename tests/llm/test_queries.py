@@ -304,6 +304,12 @@ def test_revisits(spark):
     assert found[3]["payload"] == "one" and found[3]["headers"] == {"etag": "W/1", "date": "new", "content-type": "t"} and found[4]["payload"] is None
 
 
+def test_responses_without_a_time_come_first(spark):
+    rows = [(1, "http://a.com/x", None, "response", {}, "none"), (2, "http://a.com/x", 5, "revisit", {}, None), (3, "http://a.com/x", 9, "response", {}, "nine"), (4, "http://a.com/x", 10, "revisit", {}, None), (5, "http://a.com/x", None, "revisit", {}, None)]
+    found = {r["id"]: r["response_id"] for r in warc.resolve(spark.createDataFrame(rows, "id bigint, url string, at bigint, kind string, headers map<string,string>, payload string")).collect()}
+    assert found == {2: 1, 4: 3, 5: None}
+
+
 def test_revisits_of_pages(spark, small_dir):
     assert QUERIES["op6_warc_revisits"](spark, small_dir).count() == 13 - 1
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Spark's setting that removes a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes of one Arrow batch that Python gets.
 BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
 
@@ -26,18 +30,54 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints").rstrip("/")
 
 
+_scopes = threading.local()
+
+
 def spool(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again.
 
     This cuts the lineage: what was computed survives lost executors, and later
-    reads do not repeat it.
+    reads do not repeat it.  Shuffle files of the write go when it is done.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/rivulet-{what}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[..., DataFrame]]:
+    """Tables spooled within are deleted at the end, but for those written with the function it gives.
+
+    Only such a table, or what does not read the others, may leave the scope.
+    """
+    scopes = _scopes.__dict__.setdefault("open", [])
+    mine: list[str] = []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        out = spool(df, what)
+        path = mine.pop()
+        for scope in scopes[-2:-1]:
+            scope.append(path)
+        return out
+
+    scopes.append(mine)
+    try:
+        yield kept
+    finally:
+        scopes.pop()
+        for path in mine:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keeps the batches that Python workers get small, also with long texts, and lets workers find this package.
 

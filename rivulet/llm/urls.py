@@ -2,36 +2,46 @@
 
 Rules name a domain and the beginning of a path; they fit the domain's
 subdomains, and the longest one that fits decides.  The URLs that rules decide
-train two models of characters, one of accepted and one of rejected URLs.  Both
-are Markov models of variable order: the estimate of each order is smoothed
-towards the next lower one, by how often the context was seen.  Counts are kept
-in a table of fixed size, by hash of the characters, so what is sent to workers
-has a proven bound, while the counting itself goes over all URLs.  A URL
-without a rule is rejected if its log-likelihood difference per character is
-below a limit, calibrated on all URLs that rules decide.
+train two models of characters (bytes of UTF-8), one of accepted and one of
+rejected URLs.  Both are Markov models of variable order: the estimate of each
+order is smoothed towards the next lower one, by how often the context was seen.
+A URL without a rule is rejected if its log-likelihood difference per character
+is below a limit.
+
+What a model says of a character depends on the window of ORDERS bytes that ends
+there.  A window is kept whole as an integer, so counts are exact, and there are
+as many as the URLs have different windows: they stay a table, which is joined.
+Equal URLs are counted and scored once, with their number.  The limit is set on
+URLs of every FOLDS-th hash, scored by models of the others alone; the models
+that judge count all.
 
 Null URLs, and those without ``://``, have an empty host and path and no
 characters; their difference is 0.  Without URLs of both kinds no limit can be
-set, and all others are allowed.
+set, and all others are allowed; if only the held-out ones lack a kind, the limit
+is set on all.  Pages that repeat are judged alike, and each is a row of the
+result.  Very long URLs are taken whole.  An empty table gives none, and columns
+of other names play no part.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.llm.common import arrow_limits, map_batches, texts_of
+from rivulet.llm.common import passing, spool
 
-#: Characters of context at most, and slots for the counts of each order.
-ORDERS, SLOTS = 5, 1 << 16
+#: Bytes of a window: a character and what stands before it (at most 7).
+ORDERS = 5
 #: How many sightings of a context the next lower order counts for.
 BACKING = 2.0
 #: Bins of the log-likelihood difference for the calibration.
 BIN = 64
+#: One URL of so many is held out for the limit.
+FOLDS = 5
+#: Log-likelihoods are summed in whole parts of this size, so that no order of addition matters.
+PART = 1e-9
 
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -53,82 +63,74 @@ def fitting(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return out
 
 
-def grams(text: str) -> np.ndarray:
-    """Slots of the sequences that end at each byte, a row for each length from 1 to ORDERS; contexts begin with zeros."""
-    b = np.frombuffer(b"\0" * (ORDERS - 1) + text.encode(), dtype=np.uint8).astype(np.uint64)
-    n = len(b) - ORDERS + 1
-    out, h = np.empty((ORDERS, n), dtype=np.int64), np.zeros(n, dtype=np.uint64)
-    for k in range(ORDERS):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + b[ORDERS - 1 - k : ORDERS - 1 - k + n] + np.uint64(1)
-        out[k] = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
-    return out
+def windows(urls: DataFrame) -> DataFrame:
+    """``urls`` with a row for each byte of ``of``: the window that ends there, as an integer; ``padded`` is ``of`` with zeros before it."""
+    ends = f"filter(sequence(1, octet_length(padded) - {ORDERS - 1}), i -> octet_length(padded) >= {ORDERS})"
+    return urls.withColumn("window", F.explode(F.expr(f"transform({ends}, i -> cast(conv(hex(substring(padded, i, {ORDERS})), 16, 10) as bigint))"))).drop("padded", "of")
 
 
-def contexts(text: str) -> np.ndarray:
-    """Slots of what stands before each byte, a row for each length from 1 to ORDERS - 1."""
-    b = np.frombuffer(b"\0" * ORDERS + text.encode(), dtype=np.uint8).astype(np.uint64)
-    n = len(b) - ORDERS
-    out, h = np.empty((ORDERS - 1, n), dtype=np.int64), np.zeros(n, dtype=np.uint64)
-    for k in range(ORDERS - 1):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + b[ORDERS - 1 - k : ORDERS - 1 - k + n] + np.uint64(1)
-        out[k] = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(48)).astype(np.int64)
-    return out
+def padded() -> Column:
+    return F.expr(f"concat(unhex('{'00' * (ORDERS - 1)}'), encode(of, 'UTF-8'))")
 
 
-def learn(urls: DataFrame) -> np.ndarray:
-    """Counts by kind (0 rejected, 1 accepted), row and slot, over all rows of (kind, url).
+def model(counts: DataFrame) -> DataFrame:
+    """(window, whole, part): accepted less rejected log-likelihood of each window, in units of PART.
 
-    Rows 0 to ORDERS - 1 count sequences, the others contexts.
+    ``counts`` has for each window how often URLs of each kind (0 rejected, 1
+    accepted) have it: n0 and n1 of all, m0 and m1 of those not held out.
+    ``whole`` is by the former, ``part`` by the latter.
     """
-    arrow_limits(urls.sparkSession, 10_000)
-    rows = 2 * ORDERS - 1
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, rows, SLOTS), dtype=np.int64)
-        for b in batches:
-            for kind, url in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, x in enumerate([*grams(url), *contexts(url)]):
-                    np.add.at(table[kind, k], x, 1)
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table.ravel()[at])], names=["slot", "n"])
-
-    # at most 2 * rows * SLOTS sums come back
-    got = urls.mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(2 * rows * SLOTS, dtype=np.int64)
-    table[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return table.reshape(2, rows, SLOTS)
-
-
-def log_likelihood(table: np.ndarray, text: str) -> float:
-    """Log-likelihood per character under the counts of one kind."""
-    g, c = grams(text), contexts(text)
-    p = (table[0][g[0]] + 0.5) / (table[0].sum() + 128)
-    for k in range(1, ORDERS):
-        p = (table[k][g[k]] + BACKING * p) / (np.maximum(table[ORDERS + k - 1][c[k - 1]], table[k][g[k]]) + BACKING)
-    return float(np.log(p).mean()) if len(p) else 0.0
+    names = ("n0", "n1", "m0", "m1")
+    sums = lambda df, key: df.groupBy(key).agg(*(F.sum(c).alias(c) for c in names))
+    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first()
+    out = counts.select("window")
+    bounded = lambda df, bytes_: F.broadcast(df) if bytes_ <= 2 else df  # noqa: E731 - 65,536 rows at most
+    for k in range(ORDERS):
+        end = F.col("window").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1))
+        seen = sums(counts.withColumn(f"end{k}", end), f"end{k}")
+        if k:
+            before = sums(seen.withColumn(f"before{k}", F.shiftright(f"end{k}", 8)), f"before{k}")
+            out = out.withColumn(f"before{k}", F.shiftright(end, 8)).join(bounded(before.withColumnsRenamed({c: f"c{c}" for c in names}), k), f"before{k}")
+        out = out.withColumn(f"end{k}", end).join(bounded(seen, k + 1), f"end{k}")
+        p = lambda c, k=k: (F.col(c) + BACKING * F.col(f"p{c}")) / (F.col(f"c{c}") + BACKING) if k else (F.col(c) + 0.5) / F.lit(total[c] + 128.0)
+        out = out.select("window", *(p(c).alias(f"p{c}") for c in names))
+    says = lambda c: F.round((F.log(f"p{c}1") - F.log(f"p{c}0")) / PART).cast("long")
+    return out.select("window", says("n").alias("whole"), says("m").alias("part"))
+
+
+def differences(urls: DataFrame) -> DataFrame:
+    """(a, b, difference, trial) of distinct URLs (of, padded, kind, n), a and b hashes of ``of``; those without characters are left out.
+
+    kind is null, 0 or 1 and n the number of rows.  ``trial`` is the difference
+    by models that have not seen the held-out URLs.
+    """
+    rows = windows(urls.select(*keys(), "kind", "n", "padded"))
+    of = lambda kind, also: F.sum(F.when((F.col("kind") == kind) & also, F.col("n")).otherwise(0))
+    fit = ~held_out()
+    with passing(urls.sparkSession) as result:
+        counts = spool(rows.groupBy("window").agg(of(0, F.lit(True)).alias("n0"), of(1, F.lit(True)).alias("n1"), of(0, fit).alias("m0"), of(1, fit).alias("m1")), "url-windows")
+        said = spool(model(counts), "url-model")
+        mean = lambda c: F.sum(c) * PART / F.count("*")
+        return result(rows.join(said, "window").groupBy("a", "b").agg(mean("whole").alias("difference"), mean("part").alias("trial")), "url-differences")
 
 
-def difference(urls: DataFrame, table: np.ndarray, url: str, column: str) -> DataFrame:
-    """``urls`` with a column: accepted less rejected log-likelihood, per character."""
-    at = urls.columns.index(url)
-    sent = urls.sparkSession.sparkContext.broadcast(table.astype(np.int64))
+def keys() -> list[Column]:
+    return [F.xxhash64("of").alias("a"), F.xxhash64("of", F.lit(1)).alias("b")]
 
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        t = sent.value
-        found = [log_likelihood(t[1], x) - log_likelihood(t[0], x) for x in texts_of(b.column(at))]
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.float64())], names=[*b.schema.names, column])
 
-    return map_batches(urls, batch, urls.select("*", F.lit(None).cast("double").alias(column)).schema)
+def held_out() -> Column:
+    return F.pmod(F.col("b"), F.lit(FOLDS)) == 0
 
 
 def calibrated(scored: DataFrame) -> float:
-    """The limit with the best mean of both kinds' shares of right answers, over all rows of (kind, difference)."""
-    bins = scored.groupBy("kind", F.floor(F.col("difference") * BIN).alias("bin")).count().collect()
-    total = [sum(r["count"] for r in bins if r["kind"] == k) for k in (0, 1)]
+    """The limit with the best mean of both kinds' shares of right answers, over all rows of (kind, n, difference)."""
+    # as many rows come back as there are bins
+    bins = scored.groupBy("kind", F.floor(F.col("difference") * BIN).alias("bin")).agg(F.sum("n").alias("n")).collect()
+    total = [sum(r["n"] for r in bins if r["kind"] == k) for k in (0, 1)]
     if not all(total):
-        return -np.inf
+        return -math.inf
     cuts = sorted({r["bin"] for r in bins} | {max(r["bin"] for r in bins) + 1})
-    share = lambda cut: sum((r["bin"] >= cut) == (r["kind"] == 1) and r["count"] / total[r["kind"]] for r in bins)
+    share = lambda cut: sum((r["bin"] >= cut) == (r["kind"] == 1) and r["n"] / total[r["kind"]] for r in bins)
     return max(cuts, key=lambda cut: (share(cut), -cut)) / BIN
 
 
@@ -140,8 +142,15 @@ def judge(pages: DataFrame, rules: dict[str, str], page_id: str = "page_id", url
     says = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         says = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(says)
-    ruled = rows.where("rule is not null").select((says == "allow").cast("int").alias("kind"), "of")
-    table = learn(ruled)
-    limit = calibrated(difference(ruled, table, "of", "difference"))
-    scored = difference(rows, table, "of", "difference")
-    return scored.withColumn("verdict", F.coalesce(says, F.when(F.col("difference") >= limit, "allow").otherwise("block"))).drop("of")
+    with passing(pages.sparkSession) as result:
+        urls = rows.groupBy("of", (says == "allow").cast("int").alias("kind")).agg(F.count("*").alias("n"))
+        urls = spool(urls.withColumn("padded", padded()), "urls")
+        found = differences(urls)
+        known = urls.where("kind is not null").select("kind", "n", *keys()).join(found, ["a", "b"])
+        trial, fallback = known.where(held_out()).select("kind", "n", F.col("trial").alias("difference")), known.select("kind", "n", "difference")
+        both = trial.select("kind").distinct().count() == 2
+        limit = calibrated(trial if both else fallback)
+        found = result(found, "url-scores")
+    scored = rows.select("*", *keys()).join(found.drop("trial"), ["a", "b"], "left").withColumn("difference", F.coalesce("difference", F.lit(0.0)))
+    verdict = F.coalesce(says, F.when(F.col("difference") >= limit, "allow").otherwise("block"))
+    return scored.select("page_id", "host", "path", "rule", "difference", verdict.alias("verdict"))

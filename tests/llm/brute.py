@@ -1,8 +1,10 @@
 """Plain, slow versions of the corpus queries, written from their contracts."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 import xxhash
 
@@ -77,6 +79,29 @@ def url_rule(url, rules):
     return host, path, max(fit, key=len, default=None)
 
 
+def url_difference(url, learned, order=5, backing=2.0):
+    """Accepted less rejected log-likelihood per byte; learned are URLs with their kind."""
+
+    def mean(kind):
+        seen, before = Counter(), Counter()
+        for x, k in learned:
+            if k == kind:
+                b = b"\0" * (order - 1) + x.encode()
+                for i in range(order - 1, len(b)):
+                    for n in range(1, order + 1):
+                        seen[b[i + 1 - n : i + 1]] += 1
+                        before[b[i + 1 - n : i], n] += 1
+        b, total = b"\0" * (order - 1) + url.encode(), 0.0
+        for i in range(order - 1, len(b)):
+            p = (seen[b[i : i + 1]] + 0.5) / (before[b"", 1] + 128)
+            for n in range(2, order + 1):
+                p = (seen[b[i + 1 - n : i + 1]] + backing * p) / (before[b[i + 1 - n : i], n] + backing)
+            total += math.log(p)
+        return total / max(len(url.encode()), 1)
+
+    return mean(1) - mean(0)
+
+
 def fingerprint(text):
     w = re.findall("[^\x20\x09-\x0d]+", low(text))
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] * bool(w)

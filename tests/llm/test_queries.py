@@ -210,6 +210,23 @@ def test_urls(spark, small_dir):
     assert verdicts[3] == "allow" and verdicts[9] == "block" and set(verdicts.values()) == {"allow", "block"}
 
 
+def test_url_differences(spark):
+    """Against counts in plain Python, also of repeated, empty, long and non-ASCII URLs; no sequence shares a count with another."""
+    rows = [(i, f"http://a{i % 3}.net/de/{'good' if i % 2 else 'spam'}/é{i % 17}") for i in range(60)]
+    rows += [(100, "http://b.xyz/good/77"), (101, None), (102, "no host"), (103, "http://b.xyz/" + "long/" * 3000), (104, ""), (104, "http://q.org/\U0001f600")]
+    rules = {"net/de/good": "allow", "net/de/spam": "block"}
+    learned = []
+    for _, u in rows:
+        host, path, rule = brute.url_rule(u, rules)
+        if rule:
+            learned.append((host + path, int(rules[rule] == "allow")))
+    found = urls.judge(spark.createDataFrame(rows, "page_id int, url string"), rules).collect()
+    assert len(found) == len(rows)
+    expected = sorted((i, brute.url_difference("".join(brute.url_rule(u, rules)[:2]), learned)) for i, u in rows)
+    for (i, d), (j, e) in zip(sorted((r["page_id"], r["difference"]) for r in found), expected, strict=True):
+        assert i == j and abs(d - e) < 1e-6
+
+
 def test_url_model_tells_kinds_apart(spark):
     rows = [(i, f"http://a.net/de/{'good' if i % 2 else 'spam'}/{i}") for i in range(60)] + [(100, "http://b.xyz/good/77"), (101, "http://b.xyz/spam/78")]
     found = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id int, url string"), {"net/de/good": "allow", "net/de/spam": "block"}).collect()}

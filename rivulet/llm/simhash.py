@@ -143,17 +143,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bro
     have its smallest id the one with the least fingerprint stays, and of equal
     ones one.  A row without an id stays only if its whole group has none.
     """
-    return keep_first(docs, near_duplicates(docs, doc_id, text, **options), lambda d, column: fingerprints(d, text, column), doc_id, broadcast_rows)
+    return keep_first(docs, spool(near_duplicates(docs, doc_id, text, **options), "near"), lambda d, column: fingerprints(d, text, column), doc_id, broadcast_rows)
 
 
 def keep_first(docs: DataFrame, found: DataFrame, marked: Callable[[DataFrame, str], DataFrame], doc_id: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The rows that ``deduplicate`` keeps, given (doc_id, fp, component_id, label); ``marked`` adds fp to documents, in a column of the given name.
+    """The rows that ``deduplicate`` keeps, given a spooled table (doc_id, fp, component_id, label); ``marked`` adds fp to documents, in a column of the given name.
 
     Ids alone decide about rows whose id no other row has; they are broadcast up
     to ``broadcast_rows``, and beyond that the join deals documents by id.  Texts
     are looked at again only where ids repeat or lack.
     """
-    found = spool(found, "near")
     known = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(doc_id)).agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") != F.col("component_id")).alias("gone"))
     odd = spool(known.where("n > 1 or gone"), "gone")
     kept = docs.where(F.col(doc_id).isNotNull()).join(small(odd.select(doc_id), broadcast_rows), doc_id, "left_anti").select(*docs.columns)

@@ -2,11 +2,13 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
 import brute
 import corpus_pipeline
 
 from rivulet.llm import similar, simhash
+from rivulet.llm.common import shared_dir
 
 
 def near_copies():
@@ -35,6 +37,20 @@ def test_similar_loses_none(spark, rows):
     assert len({c for _, c in expected}) < len({d for d, _ in expected}) - 30
 
 
+def test_rounds_of_leaders(spark, monkeypatch):
+    """Rounds end by themselves, lose no group, and leave no table but the result."""
+    monkeypatch.setattr(similar, "PAIRS", -1)
+    every = near_copies()
+    before = set(shared(spark))
+    found = similar.near_duplicates(spark.createDataFrame(every, "doc_id bigint, text string").repartition(2), stars=1)
+    assert len(set(shared(spark)) - before) == 1
+    assert Counter((r["doc_id"], r["component_id"]) for r in found.collect()) == Counter(brute.similar_groups(every))
+
+
+def shared(spark):
+    return Path(shared_dir(spark).removeprefix("file:")).glob("rivulet-*")
+
+
 def test_stage_drops_near_copies(spark, small_dir):
     """Copies that SimHash's three bits do not reach; rows without an id, and equal ones, too."""
     every = [*near_copies(), (None, "only without an id " * 9), (None, "only without an id " * 9)]

@@ -137,13 +137,16 @@ def tokenize(docs: DataFrame, path: str, end: int | None = 1, text: str = "text"
 
 
 def bounds(docs: DataFrame, doc_id: str, rows: int = FILE_ROWS) -> list[int]:
-    """Ascending ids that part the documents into files of about ``rows``, from the id column alone."""
+    """Ascending ids that part the documents into files of about ``rows``, from the id column alone.
+
+    Quantiles are doubles, so ids beyond 2^53 are parted less finely; any bounds keep the order.
+    """
     n = docs.count()
     files = max(1, -(-n // rows), min(n // 500, docs.sparkSession.sparkContext.defaultParallelism * 2))
     if files == 1:
         return []
     cuts = docs.approxQuantile(doc_id, [i / files for i in range(1, files)], 1 / (20 * files))
-    return sorted({int(x) for x in cuts})
+    return sorted({min(int(x), 2**63 - 1) for x in cuts})
 
 
 def write(docs: DataFrame, path: str, end: int | None = 1, doc_id: str = "doc_id", text: str = "text", out: str | None = None, rows: int = FILE_ROWS) -> str:

@@ -203,6 +203,16 @@ def test_token_file_many_files(spark, docs, paths, tmp_path):
         total += r["n_tokens"]
 
 
+def test_token_file_of_extreme_ids(spark, paths):
+    """Ids at both ends of bigint, in many files."""
+    ids = [2**63 - 1 - i for i in range(600)] + [-(2**63) + i for i in range(600)]
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id bigint, text string")
+    found = tokenfile.read(spark, tokenfile.write(docs, paths["word_bpe_49k.json"], rows=300)).collect()
+    files = {r["doc_id"]: r["file"] for r in found}
+    assert len(found) == len(ids) and set(files) == set(ids) and len(set(files.values())) > 1
+    assert [files[i] for i in sorted(ids)] == sorted(files.values())
+
+
 def test_urls(spark, small_dir):
     pages = spark.read.parquet(f"{small_dir}/pages.parquet").collect()
     assert got(spark, small_dir, "op7_url_filter", "page_id", "host", "path", "rule") == Counter((p["page_id"], *brute.url_rule(p["url"], URL_RULES)) for p in pages)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: The same for tables of fingerprints, classes and nodes, several of which are broadcast in one query.
+FEW = 100_000
 #: Spark's setting that removes a query's shuffle files when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows and bytes of one Arrow batch that Python gets.
@@ -103,12 +105,22 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` marked so that a join deals both sides out by key and broadcasts neither.
+
+    Spark guesses sizes before it runs: an exploded table counts as large as
+    what it is made of, a packed one as large as its file.  By such a guess it
+    would broadcast, through the driver, what does not fit there.
+    """
+    return df.hint("merge")
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has few rows; else as it is.
+    """``df`` marked for broadcast if it has few rows; else dealt out.
 
     ``df`` should be cheap to count, such as a spooled table.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else dealt(df)
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -13,6 +13,9 @@ Equal fingerprints are one class, compared once.  An anchor that is the home of
 more than ``crowd`` classes is split: of the other bits, cut into four parts,
 linked fingerprints agree in one, so they meet again under (anchor, part,
 value).  No pair is lost, and none is cut off.
+
+Homes and visitors are far larger than the classes they are made of, by whose
+size Spark would choose to broadcast them, so joins are told to deal them out.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.llm.bpe import schema_with
-from rivulet.llm.common import BROADCAST_ROWS, fresh, map_batches, small, spool, texts_of
+from rivulet.llm.common import BROADCAST_ROWS, FEW, dealt, fresh, map_batches, small, spool, texts_of
 from rivulet.llm.components import components
 
 #: Shingles whose bits are counted at a time, so that a long text needs no more memory.
@@ -106,9 +109,9 @@ def links(classes: DataFrame, threshold: int = 3, crowd: int = CROWD) -> DataFra
         hot = small(crowded)
         keys = ["key", "part", "value"]
         h, v = parted(home.join(hot, "key", "left_semi")).alias("h"), parted(visit.join(hot, "key", "left_semi")).alias("v")
-        parts.append(h.join(v, [*(F.col(f"h.{k}") == F.col(f"v.{k}") for k in keys), close]))
+        parts.append(h.join(dealt(v), [*(F.col(f"h.{k}") == F.col(f"v.{k}") for k in keys), close]))
         home, visit = home.join(hot, "key", "left_anti"), visit.join(hot, "key", "left_anti")
-    parts.append(home.alias("h").join(visit.alias("v"), [F.col("h.key") == F.col("v.key"), close]))
+    parts.append(home.alias("h").join(dealt(visit.alias("v")), [F.col("h.key") == F.col("v.key"), close]))
     pairs = [p.select(F.least("h.fp", "v.fp").alias("a"), F.greatest("h.fp", "v.fp").alias("b")) for p in parts]
     return (pairs[0] if len(pairs) == 1 else pairs[0].unionByName(pairs[1])).distinct()
 
@@ -129,10 +132,10 @@ def grouped(rows: DataFrame, link: Callable[[DataFrame], DataFrame]) -> DataFram
     """(doc_id, fp, component_id, label) of rows (doc_id, fp); ``link`` gives the pairs (a, b) of linked classes (fp, first)."""
     classes = spool(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     labels = components(link(classes))
-    of = classes.join(labels, classes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    of = classes.join(small(labels, FEW), classes["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     least = of.groupBy("label").agg(F.min("first").alias("component_id"))
-    known = spool(of.join(least, "label").select("fp", "component_id", "label"), "components")
-    return rows.join(known, "fp").select("doc_id", "fp", "component_id", "label")
+    known = spool(of.join(dealt(least), "label").select("fp", "component_id", "label"), "components")
+    return rows.join(small(known, FEW), "fp").select("doc_id", "fp", "component_id", "label")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:

@@ -7,6 +7,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from rivulet.llm import bpe, contamination, hostrules, licenses, secrets, simhash, tokenfile, toxicity, urls, warc
+from rivulet.llm.common import spool
+from rivulet.llm.components import components
 from rivulet.llm.queries import QUERIES, URL_RULES
 
 
@@ -271,6 +273,36 @@ def test_links_lose_none(spark, crowd):
     assert {tuple(x) for x in found} == expected and len(found) == len(expected)
 
 
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    """Spark takes homes and visitors for as small as the fingerprints they are made of; broadcast, they do not fit a driver."""
+    import random
+
+    r = random.Random(5)
+    fps = spark.createDataFrame([(r.getrandbits(63),) for _ in range(300)], "fp bigint")
+    for crowd in (512, 0):
+        made = simhash.links(spool(fps, "few"), crowd=crowd)
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        joins = [x for x in plan.splitlines() if "Join Inner" in x]
+        assert joins and all("strategy=merge" in x for x in joins)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    monkeypatch.setattr(simhash, "FEW", 0)
+    try:
+        found = simhash.grouped(spool(fps.selectExpr("fp as doc_id", "fp"), "rows"), simhash.links)
+        assert found.count() == 300 and "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_components(spark, monkeypatch, few):
+    """A chain, a star and a pair, with labels broadcast and dealt out."""
+    monkeypatch.setattr("rivulet.llm.components.FEW", few)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(20)] + [(201, 200), (7, None)]
+    found = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
+    assert {r["node"]: r["label"] for r in found} == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(21)}, 200: 200, 201: 200}
+
+
 def test_deduplicate(spark, docs, rows):
     kept = simhash.deduplicate(docs.unionByName(docs.where("doc_id = 107").selectExpr("cast(null as bigint) as doc_id", *docs.columns[1:])))
     assert kept.columns == docs.columns

@@ -28,7 +28,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    """Keeps one document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more; SimHash and its anchors first, then all that they do not reach."""
     return similar.deduplicate(docs)
 
 

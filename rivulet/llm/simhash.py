@@ -39,6 +39,19 @@ CROWD = 512
 LENGTH, HALF = 31, (1 << 31) - 1
 
 
+def tally(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    """The bits that over half of ``n`` hashes have."""
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = 3) -> int:
     """The SimHash of a text: word shingles, letters A-Z made small, XXH64 with seed 42; no words give zero."""
     w = (text or "").encode().lower().split()
@@ -48,9 +61,8 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     ones, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
     for i in range(0, len(shingles), CHUNK):
         part = shingles[i : i + CHUNK]
-        h = np.fromiter((digest(s, 42) for s in part), dtype="<u8", count=len(part))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<u8")[0])
+        ones += tally(np.fromiter((digest(s, 42) for s in part), dtype="<u8", count=len(part)))
+    return majority(ones, len(shingles))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", fp: str = "fp", words: int = 3) -> DataFrame:

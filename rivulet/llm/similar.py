@@ -1,7 +1,11 @@
 """Near-duplicates by Jaccard similarity of word shingles, none lost.
 
 A text is the set of its five-word shingles, as XXH64 hashes; two texts are
-linked if their sets have a similarity of 0.8 or more.  Candidates come from
+linked if their sets have a similarity of 0.8 or more.  Candidates come first from
+SimHash: fingerprints of the sets meet at ``simhash``'s anchors, and each is compared
+with the smallest that it is linked to, and with its like.  What the whole sets confirm
+is one group from then on.  Sets so similar differ in some ten bits, though, and three is all that
+anchors reach, so what is still in different groups is completed by
 prefixes: with all shingles in one fixed order, two sets so similar share one
 among the first fifth (and one more) of each, and at the first that they share
 neither set may have passed so many others that the rest cannot suffice.  The
@@ -12,7 +16,7 @@ narrow for long texts, so the others are compared by wider ones that grow with t
 these allow is decided by the whole sets.
 
 Thousands of texts alike would be millions of pairs.  So at each shared shingle
-the texts are first compared with two of them, its leaders; what that links is
+the texts of different groups are first compared with two of them, its leaders; what that links is
 one group.  Further rounds do the same among those in different groups, with
 other leaders, as long as there are many pairs of them and the last round linked
 some.  Then all pairs are compared that share a shingle and are still in
@@ -36,10 +40,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rivulet.llm import simhash
 from rivulet.llm.bpe import schema_with
-from rivulet.llm.common import BROADCAST_ROWS, arrow_limits, list_array, map_batches, passing, small, spool, texts_of
+from rivulet.llm.common import BROADCAST_ROWS, FEW, arrow_limits, dealt, list_array, map_batches, passing, small, spool, texts_of
 from rivulet.llm.components import components
-from rivulet.llm.simhash import grouped, keep_first
 
 #: Words of a shingle; linked are sets with a similarity of PARTS / (PARTS + 1) or more.
 WORDS, PARTS = 5, 4
@@ -51,8 +55,6 @@ BUSY, LEAST_BUSY = 4, 3
 STARS = 2
 #: Rounds go on while there are more pairs in different groups than this times the meetings; this many at most, the rest are compared as pairs.
 PAIRS, ROUNDS = 1, 2
-#: Rows of a table of classes or shingles that may be broadcast here.
-FEW = 100_000
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -87,6 +89,11 @@ def lists(parts: list[np.ndarray]) -> pa.Array:
     return list_array(np.concatenate([np.empty(0, dtype=np.int64), *parts]), np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int64())
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash of a set."""
+    return int(np.uint64(simhash.majority(simhash.tally(hashes), len(hashes))).view(np.int64))
+
+
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Whether each of BITS parts holds an odd number of the set's hashes.
 
@@ -140,27 +147,28 @@ def busy(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def outlines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, n, sketch, wide, first) of every row: its class, the size and sketches of its set and the shingles of its prefix, in order.
+    """(doc_id, fp, n, simhash, sketch, wide, first) of every row: its class, the size, SimHash and sketches of its set and the shingles of its prefix, in order.
 
-    A class's sketches and prefix come once a batch; its other rows there have empty ones.
+    A class's SimHash, sketches and prefix come once a batch; its other rows there have none.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(busy(docs, text))
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        table, known, keys, sizes, marks, wide, first = sent.value, set(), [], [], [], [], []
+        table, known, keys, sizes, prints, marks, wide, first = sent.value, set(), [], [], [], [], [], []
         for h in map(shingles, texts_of(b.column(1))):
             keys.append(key(h))
             sizes.append(len(h))
             long = 0 if keys[-1] in known or not len(h) else len(h) // (PARTS + 1) + 1
             first.append(h[np.lexsort((h, table[slots(h)]))[:long]] if long else h[:0])
+            prints.append(fingerprint(h) if long else None)
             marks.append(sketch(h) if long else h[:0])
             wide.append(wide_sketch(h) if long else h[:0])
             known.add(keys[-1])
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), lists(marks), lists(wide), lists(first)], names=["doc_id", "fp", "n", "sketch", "wide", "first"])
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(prints, pa.int64()), lists(marks), lists(wide), lists(first)], names=["doc_id", "fp", "n", "simhash", "sketch", "wide", "first"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_batches(rows, batch, f"doc_id {kind}, fp bigint, n bigint, sketch array<bigint>, wide array<bigint>, first array<bigint>")
+    return map_batches(rows, batch, f"doc_id {kind}, fp bigint, n bigint, simhash bigint, sketch array<bigint>, wide array<bigint>, first array<bigint>")
 
 
 def meetings(rows: DataFrame) -> DataFrame:
@@ -195,9 +203,9 @@ def alike(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar; ``rows`` are the outlines of ``docs``."""
+    """(a, b) of those of the pairs (x, y) whose whole sets are similar, a being the smaller; ``rows`` are the outlines of ``docs``."""
     with passing(docs.sparkSession) as result:
-        some = spool(pairs.select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct(), "pairs")
+        some = spool(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
         some = spool(alike(some, rows), "alike")
         ends = spool(some.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "ends")
         whole = spool(sets(docs, text).join(small(ends, FEW), "fp", "left_semi").dropDuplicates(["fp"]), "whole")
@@ -206,10 +214,24 @@ def verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, text: str) -> D
         return result(counted.where(f"{2 * PARTS + 1} * same >= {PARTS} * all").select("a", "b"), "links")
 
 
-def labelled(met: DataFrame, found: DataFrame | None) -> DataFrame:
+def by_simhash(rows: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (a, b) of similar classes with linked fingerprints, as many as there are classes at most.
+
+    Of each fingerprint the smallest class stands for all.  The others are
+    compared with it, and it with that of the smallest fingerprint linked to its own.
+    """
+    with passing(docs.sparkSession) as result:
+        of = spool(rows.where("simhash is not null").select("fp", "simhash").distinct(), "simhashes")
+        lead = spool(of.groupBy("simhash").agg(F.min("fp").alias("lead")), "leads")
+        near = spool(simhash.links(lead.select(F.col("simhash").alias("fp"))), "near-simhashes")
+        least = near.union(near.select("b", "a")).groupBy("a").agg(F.min("b").alias("b"))
+        like = of.join(dealt(lead), "simhash").where("fp != lead").select(F.col("lead").alias("x"), F.col("fp").alias("y"))
+        linked = least.join(dealt(lead.toDF("a", "x")), "a").join(dealt(lead.toDF("b", "y")), "b").select("x", "y")
+        return result(verified(like.union(linked), rows, docs, text), "by-simhash")
+
+
+def labelled(met: DataFrame, found: DataFrame) -> DataFrame:
     """Meetings at shingles where different groups meet, with each class's group by the links found so far."""
-    if found is None:
-        return met.withColumn("label", F.col("fp"))
     with passing(met.sparkSession) as result:
         of = components(found).withColumnRenamed("node", "fp")
         known = spool(met.join(small(of, FEW), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "labelled")
@@ -230,7 +252,8 @@ def links(rows: DataFrame, docs: DataFrame, text: str = "text", stars: int = STA
     spark = rows.sparkSession
     with passing(spark) as result:
         met = meetings(rows)
-        left, found = labelled(met, None), None
+        found = by_simhash(rows, docs, text)
+        left = labelled(met, found)
         for r in range(rounds if stars else 0):
             if not many(left):
                 break
@@ -238,24 +261,24 @@ def links(rows: DataFrame, docs: DataFrame, text: str = "text", stars: int = STA
                 order = lambda k, r=r: F.struct(F.xxhash64("fp", F.lit(r * stars + k)).alias("order"), "fp", "n", "sketch", "at", "label")
                 lead = left.groupBy("hash").agg(*(F.min(order(k)).alias(f"l{k}") for k in range(stars)))
                 lead = lead.select("hash", F.explode(F.array(*(f"l{k}" for k in range(stars)))).alias("l")).select("hash", "l.fp", "l.n", "l.sketch", "l.at", "l.label")
-                pairs = left.alias("x").join(lead.alias("y"), (F.col("x.hash") == F.col("y.hash")) & F.expr("x.label != y.label") & close("x", "y"))
-                more = of_round(verified(pairs, rows, docs, text), "found")
+                pairs = left.alias("x").join(dealt(lead.alias("y")), (F.col("x.hash") == F.col("y.hash")) & F.expr("x.label != y.label") & close("x", "y"))
+                more = of_round(verified(pairs.selectExpr("x.fp x", "y.fp y"), rows, docs, text), "found")
             if not more.limit(1).count():
                 break
-            found = more if found is None else found.unionByName(more)
+            found = found.unionByName(more)
             left = labelled(met, found)
-        rest = left.alias("x").join(left.alias("y"), (F.col("x.hash") == F.col("y.hash")) & F.expr("x.label < y.label") & close("x", "y"))
-        more = verified(rest, rows, docs, text)
-        return result(more if found is None else found.unionByName(more), "all-links")
+        rest = left.alias("x").join(dealt(left.alias("y")), (F.col("x.hash") == F.col("y.hash")) & F.expr("x.label < y.label") & close("x", "y"))
+        more = verified(rest.selectExpr("x.fp x", "y.fp y"), rows, docs, text)
+        return result(found.unionByName(more), "all-links")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", stars: int = STARS) -> DataFrame:
     """(doc_id, fp, component_id, label) of every row, as ``simhash.near_duplicates`` has them; fp is the key of a row's class."""
     with passing(docs.sparkSession) as result:
         rows = spool(outlines(docs, doc_id, text), "outlines")
-        return result(grouped(rows.select("doc_id", "fp"), lambda classes: links(rows, docs, text, stars)), "near")
+        return result(simhash.grouped(rows.select("doc_id", "fp"), lambda classes: links(rows, docs, text, stars)), "near")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row of each group of near-duplicates, chosen as ``simhash.deduplicate`` does."""
-    return keep_first(docs, near_duplicates(docs, doc_id, text), lambda d, column: keyed(d, text, column), doc_id, broadcast_rows)
+    return simhash.keep_first(docs, near_duplicates(docs, doc_id, text), lambda d, column: keyed(d, text, column), doc_id, broadcast_rows)

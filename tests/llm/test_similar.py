@@ -59,3 +59,36 @@ def test_stage_drops_near_copies(spark, small_dir):
     expected = {c for _, c in brute.similar_groups(every)}
     assert Counter(kept) == Counter(expected)
     assert len(kept) < simhash.deduplicate(docs).count()
+
+
+def test_simhash_links_first(spark, monkeypatch):
+    """What SimHash's anchors link is confirmed by whole sets and is one group, also where no shingles meet."""
+    every = near_copies()
+    docs = spark.createDataFrame(every, "doc_id bigint, text string").repartition(2)
+    prints, cut = {}, simhash.links
+    monkeypatch.setattr(similar, "meetings", lambda rows, of=similar.meetings: of(rows).limit(0))
+    monkeypatch.setattr(simhash, "links", lambda classes: prints.setdefault("links", cut(classes)))
+    found = {r["doc_id"]: r["component_id"] for r in similar.near_duplicates(docs).collect()}
+    whole = {d: c for d, c in brute.similar_groups(every)}
+    text, sets = dict(every), {d: similar.shingles(t) for d, t in every}
+    assert "links" in prints and all(whole[d] == whole[c] for d, c in found.items())
+    # here different texts are together only by SimHash, and each fingerprint's like and smallest neighbour are tried
+    together = [(d, c) for d, c in found.items() if text[d] != text[c]]
+    assert len(together) >= 10
+    fps = {d: similar.fingerprint(h) for d, h in sets.items()}
+    key = {d: similar.key(h) for d, h in sets.items()}
+    lead = {f: min(key[d] for d in fps if fps[d] == f) for f in fps.values()}
+    by_key = {k: d for d, k in key.items()}
+    near = lambda f: [g for g in lead if g != f and ((f ^ g) & (1 << 64) - 1).bit_count() <= 3]
+    pairs = [(key[d], lead[fps[d]]) for d in fps] + [(lead[f], lead[min(near(f))]) for f in lead if near(f)]
+    jaccard = lambda a, b: 9 * len(set(a) & set(b)) >= 4 * (len(a) + len(b))
+    for a, b in pairs:
+        x, y = by_key[a], by_key[b]
+        assert not jaccard(sets[x], sets[y]) or found[x] == found[y]
+
+
+def test_fingerprint_of_a_set():
+    for _, t in near_copies():
+        h = similar.shingles(t)
+        want = sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in h) > len(h))
+        assert similar.fingerprint(h) & (1 << 64) - 1 == want
